@@ -5,8 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,21 +93,21 @@ def rate_by(df: DataFrame, group: str, flag: str) -> DataFrame:
 def quantile_bins(df: DataFrame, features: Sequence[str], flag: str, probs: Sequence[float] = DECILES) -> DataFrame:
     """Failure rate per quantile bin: right-closed, lowest value included, repeated edges dropped."""
     quantiles = exact_quantiles(df, features, probs)
-    parts = []
+    parts, lows, highs = [], F.lit(None).cast("double"), F.lit(None).cast("double")
     for feature in features:
         edges = sorted(set(quantiles[(feature,)].values()))
         value = F.col(feature).cast("double")
-        bin_no, low, high = F.lit(len(edges) - 1), F.lit(edges[max(0, len(edges) - 2)]), F.lit(edges[-1])
+        bin_no = F.lit(max(1, len(edges) - 1))
         for i in range(len(edges) - 2, 0, -1):
-            inside = value <= F.lit(edges[i])
-            bin_no, low, high = (F.when(inside, i).otherwise(bin_no), F.when(inside, edges[i - 1]).otherwise(low),
-                                 F.when(inside, edges[i]).otherwise(high))
-        parts.append(F.struct(F.lit(feature).alias("feature"), bin_no.alias("bin"), low.alias("low"),
-                              high.alias("high"), value.alias("v")))
-    long = df.select(flag, F.inline(F.array(*parts))).filter(F.col("v").isNotNull())
-    return long.groupBy("feature", "bin", "low", "high").agg(
-        F.count("*").alias("n"), F.sum(flag).alias("failures"), F.round(F.avg(flag), 6).alias("rate")
-    ).withColumns({"low": F.round("low", 6), "high": F.round("high", 6)})
+            bin_no = F.when(value <= F.lit(edges[i]), i).otherwise(bin_no)
+        parts.append(F.struct(F.lit(feature).alias("feature"), F.when(value.isNotNull(), bin_no).alias("bin")))
+        here = F.col("feature") == feature
+        lows = F.when(here, F.element_at(F.array(*map(F.lit, edges)), F.col("bin"))).otherwise(lows)
+        highs = F.when(here, F.element_at(F.array(*map(F.lit, edges + edges[-1:])), F.col("bin") + 1)).otherwise(highs)
+    long = df.select(flag, F.inline(F.array(*parts))).filter(F.col("bin").isNotNull())
+    rates = long.groupBy("feature", "bin").agg(
+        F.count("*").alias("n"), F.sum(flag).alias("failures"), F.round(F.avg(flag), 6).alias("rate"))
+    return rates.withColumns({"low": F.round(lows, 6), "high": F.round(highs, 6)})
 
 
 def _defined(value: Column) -> Column:
@@ -119,15 +117,20 @@ def _defined(value: Column) -> Column:
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every ordered pair; a constant column correlates with nothing.
 
-    One pass sums a columns x columns matrix, and only that matrix leaves the tasks.
+    One pass finds means and deviations, one sums the standardised products.
     """
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="v", handleInvalid="skip").transform(
-        df.select(*[F.col(c).cast("double").alias(c) for c in columns])).select("v")
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-    cells = [(a, b, None if math.isnan(matrix[i, j]) else float(matrix[i, j]))
-             for i, a in enumerate(columns) for j, b in enumerate(columns)]
-    table = df.sparkSession.createDataFrame(cells, "a string, b string, r double")
-    return table.withColumn("r", F.round("r", 6))
+    row = df.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
+    live = [c for c in columns if row[f"s_{c}"]]
+    z = df.select(*[((F.col(c) - F.lit(row[f"m_{c}"])) / F.lit(row[f"s_{c}"])).alias(c) for c in live])
+    pairs = [(a, b) for i, a in enumerate(live) for b in live[i:]]
+    sums = z.agg(*[F.avg(F.col(a) * F.col(b)).alias(f"{a}|{b}") for a, b in pairs])
+    cells = []
+    for a in columns:
+        for b in columns:
+            name = f"{a}|{b}" if (a, b) in pairs else f"{b}|{a}"
+            value = F.round(F.col(f"`{name}`"), 6) if a in live and b in live else F.lit(None).cast("double")
+            cells.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), value.alias("r")))
+    return sums.select(F.inline(F.array(*cells)))
 
 
 def target_association(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:

@@ -59,7 +59,7 @@ def exact_quantiles(
     columns: Sequence[str],
     probs: Sequence[float],
     by: Sequence[str] = (),
-    accuracy: int = 10_000,
+    accuracy: int = 2_000,
     listed: int = 200_000,
 ) -> dict[Key, dict[float, float | None]]:
     """Linearly interpolated quantiles per group and column.

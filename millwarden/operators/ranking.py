@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,22 +20,21 @@ RANGES = 128
 
 def range_bounds(df: DataFrame, key: str, ranges: int = RANGES) -> list[float]:
     """Distinct approximate quantiles of ``key``: at most ``ranges - 1`` numbers."""
-    probs = [i / ranges for i in range(1, ranges)]
-    found = df.agg(F.percentile_approx(F.col(key).cast("double"), probs, 20 * ranges)).first()[0]
-    return sorted(set(found or []))
+    return sorted(set(df.agg(_sketch(key, ranges)).first()[0] or []))
 
 
-def range_of(key: str | Column, bounds: Sequence[float]) -> Column:
-    """Index of the range ``key`` falls in, as a balanced tree of comparisons."""
-    value = F.col(key) if isinstance(key, str) else key
+def _sketch(key: str, ranges: int) -> Column:
+    return F.percentile_approx(F.col(key).cast("double"), [i / ranges for i in range(1, ranges)], 10 * ranges)
 
-    def tree(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(value < F.lit(float(bounds[middle])), tree(low, middle)).otherwise(tree(middle + 1, high))
 
-    return tree(0, len(bounds))
+def with_range(df: DataFrame, key: str, bounds: Sequence[float]) -> DataFrame:
+    """Add ``_range``, the index of the range ``key`` falls in; it rises with ``key``."""
+    if not bounds:
+        return df.withColumn("_range", F.lit(0))
+    splits = [float("-inf"), *bounds, float("inf")]
+    cutter = Bucketizer(splits=splits, inputCol="_key", outputCol="_place", handleInvalid="keep")
+    placed = cutter.transform(df.withColumn("_key", F.col(key).cast("double")))
+    return placed.withColumn("_range", F.col("_place").cast("int")).drop("_key", "_place")
 
 
 def running_totals(
@@ -43,7 +43,7 @@ def running_totals(
     sums: dict[str, str],
     by: Sequence[str] = (),
     descending: bool = False,
-    ranges: int = RANGES,
+    bounds: Sequence[float] | None = None,
 ) -> DataFrame:
     """Add inclusive running sums along ``key`` (unique within ``by``).
 
@@ -52,7 +52,7 @@ def running_totals(
     then one row here.
     """
     by = list(by)
-    cut = df.withColumn("_range", range_of(key, range_bounds(df, key, ranges)))
+    cut = with_range(df, key, range_bounds(df, key) if bounds is None else bounds)
     far_first = F.col("_range").desc() if descending else F.col("_range").asc()
     totals = cut.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     before = Window.partitionBy(*by).orderBy(far_first).rowsBetween(Window.unboundedPreceding, -1)
@@ -73,7 +73,7 @@ def grouped_positions(
     ``key`` is a number that rises with ``order``.  A hot group is spread over
     the ranges of ``key``, so no task orders more than one range of it.
     """
-    cut = df.withColumn("_range", range_of(key, range_bounds(df, key, ranges)))
+    cut = with_range(df, key, range_bounds(df, key, ranges))
     counts = cut.groupBy(by, "_range").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(by, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
@@ -82,27 +82,41 @@ def grouped_positions(
     return placed.select(*df.columns, (F.col("_p") + F.col("_o")).alias(name))
 
 
-def join_per_value(rows: DataFrame, values: DataFrame, key: str, count: str, total: int, share: int = 500) -> DataFrame:
+BROADCAST_VALUES = 200_000
+
+
+def join_per_value(rows: DataFrame, values: DataFrame, key: str, count: str, total: int, share: int = 500, salts: int = 64) -> DataFrame:
     """Left join of ``rows`` to one row per distinct ``key``, safe for hot values.
 
     ``values`` carries how many rows hold each value.  Values held by more than
-    1/``share`` of the ``total`` rows number fewer than ``share``: they are
-    broadcast, and only the others are shuffled.
+    1/``share`` of the ``total`` rows number fewer than ``share``; their rows are
+    dealt over ``salts`` tasks, and their one ``values`` row is repeated to match.
     """
     extra = [c for c in values.columns if c not in (key, count)]
-    hot = values.filter(F.col(count) > F.lit(total / share)).select(key, *extra)
-    cold = values.filter(F.col(count) <= F.lit(total / share)).select(key, *extra)
-    from_hot = rows.join(F.broadcast(hot), key)
-    from_cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "left")
-    return from_hot.unionByName(from_cold)
+    hot = [r[0] for r in values.filter(F.col(count) > F.lit(total / share)).select(key).collect()]
+    if not hot:
+        return rows.join(values.select(key, *extra), key, "left")
+    is_hot = F.col(key).isin(hot)
+    dealt = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")).otherwise(0))
+    spread = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    repeated = values.select(key, *extra, F.explode(spread).alias("_salt"))
+    return dealt.join(repeated, [key, "_salt"], "left").drop("_salt")
 
 
-def competition_rank(df: DataFrame, score: str, name: str) -> DataFrame:
-    """Rank rows by ``score``, highest first; equal scores share the least rank.
+def competition_ranks(df: DataFrame, names: dict[str, str], broadcast_values: int = BROADCAST_VALUES) -> DataFrame:
+    """Rank rows by each score (score column -> rank column), highest first.
 
-    Null scores get a null rank.
+    Equal scores share the least rank; a null score gets a null rank.  The ranks
+    of distinct scores are broadcast only when their counted number is small.
     """
-    counts = df.filter(F.col(score).isNotNull()).groupBy(score).agg(F.count("*").alias("_ties"))
-    ranked = running_totals(counts, score, {"_ties": "_through"}, descending=True)
-    ranked = ranked.select(score, "_ties", (F.col("_through") - F.col("_ties") + 1).alias(name))
-    return join_per_value(df, ranked, score, "_ties", df.count())
+    out = df
+    for score, name in names.items():
+        counts = df.filter(F.col(score).isNotNull()).groupBy(score).agg(F.count("*").alias("_ties"))
+        seen = counts.agg(F.count("*").alias("values"), F.sum("_ties").alias("rows"), _sketch(score, RANGES).alias("q")).first()
+        totals = running_totals(counts, score, {"_ties": "_through"}, descending=True, bounds=sorted(set(seen["q"] or [])))
+        ranks = totals.select(score, "_ties", (F.col("_through") - F.col("_ties") + 1).alias(name))
+        if seen["values"] <= broadcast_values:
+            out = out.join(F.broadcast(ranks.drop("_ties")), score, "left")
+        else:
+            out = join_per_value(out, ranks, score, "_ties", seen["rows"])
+    return out

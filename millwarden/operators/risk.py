@@ -19,7 +19,7 @@ from millwarden.functions.scoring import (
     temperature_differential,
 )
 from millwarden.operators.quantiles import exact_quantiles
-from millwarden.operators.ranking import competition_rank
+from millwarden.operators.ranking import competition_ranks
 
 
 def scaled(column: str, low: float | None, high: float | None, clipped: bool = False) -> Column:
@@ -52,8 +52,7 @@ def risk_table(signals: DataFrame, probability: str = "failure_probability", ano
     """Fused score, band, and competition ranks of probability and risk."""
     fused = signals.withColumn("unified_risk_score", fuse_risk(probability, anomaly))
     fused = fused.withColumn("risk_band", risk_band("unified_risk_score"))
-    ranked = competition_rank(fused, probability, "failure_probability_rank")
-    return competition_rank(ranked, "unified_risk_score", "risk_rank")
+    return competition_ranks(fused, {probability: "failure_probability_rank", "unified_risk_score": "risk_rank"})
 
 
 def structured_events(risk: DataFrame, observations: DataFrame, key: str = "uid") -> DataFrame:

@@ -9,6 +9,7 @@ from millwarden.plans.catalog import ORACLES, QUERIES, Builder
 SUBJECTS = (
     "profile_queries",
     "risk_queries",
+    "metric_queries",
 )
 
 

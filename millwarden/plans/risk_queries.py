@@ -353,16 +353,16 @@ RANKED = RISK + """, k AS (SELECT *, rank() OVER (ORDER BY failure_probability D
  rank() OVER (ORDER BY anomaly_raw DESC) AS anomaly_rank FROM scored""")
 def risk_ranks(spark, sf):
     scored = view(spark, sf, "scored").select("uid", "failure_probability", "anomaly_raw")
-    first = R.competition_rank(scored, "failure_probability", "failure_probability_rank")
-    return R.competition_rank(first, "anomaly_raw", "anomaly_rank").select("uid", "failure_probability_rank", "anomaly_rank")
+    ranked = R.competition_ranks(scored, {"failure_probability": "failure_probability_rank", "anomaly_raw": "anomaly_rank"})
+    return ranked.select("uid", "failure_probability_rank", "anomaly_rank")
 
 
 @query("risk_table", RANKED + f"SELECT {RISK_COLUMNS}, failure_probability_rank, risk_rank FROM k")
 def risk_table(spark, sf):
     """Ranks are over scores rounded to 6 places, as shown."""
     rounded = banded(spark, sf).withColumn("unified_risk_score", F.round("unified_risk_score", 6))
-    ranked = R.competition_rank(rounded, "failure_probability", "failure_probability_rank")
-    return shown(R.competition_rank(ranked, "unified_risk_score", "risk_rank"), "failure_probability_rank", "risk_rank")
+    ranked = R.competition_ranks(rounded, {"failure_probability": "failure_probability_rank", "unified_risk_score": "risk_rank"})
+    return shown(ranked, "failure_probability_rank", "risk_rank")
 
 
 @query("search_then_top", RISK + f"""SELECT {RISK_COLUMNS} FROM (SELECT * FROM r WHERE regexp_matches(uid, '(?i)h') OR regexp_matches(type, '(?i)h')
