@@ -10,6 +10,7 @@ SUBJECTS = (
     "profile_queries",
     "risk_queries",
     "metric_queries",
+    "document_queries",
 )
 
 

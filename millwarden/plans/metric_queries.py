@@ -18,10 +18,13 @@ LONG = with_views("scored") + """, long AS (SELECT uid, actual_failure AS y, 'fu
 
 
 def scored_long(spark, sf):
-    scored = view(spark, sf, "scored")
+    return both_models(view(spark, sf, "scored"))
+
+
+def both_models(scored, *keep):
     models = F.array(F.struct(F.lit("fused").alias("model"), F.col("failure_probability").alias("p")),
                      F.struct(F.lit("wear").alias("model"), F.col("wear_probability").alias("p")))
-    return scored.select("uid", F.col("actual_failure").alias("y"), F.inline(models))
+    return scored.select("uid", *keep, F.col("actual_failure").alias("y"), F.inline(models))
 
 
 def div(a, b):
@@ -141,7 +144,7 @@ m AS (SELECT model, fold, {PRECISION} AS precision, {RECALL} AS recall, {F1} AS
     f"round(avg({c}), 6) AS {c}_mean, round(stddev_pop({c}), 6) AS {c}_std" for c in ("precision", "recall", "f1", "roc_auc", "average_precision"))
     + " FROM m GROUP BY model")
 def cv_summary(spark, sf):
-    folds = stratified_folds(scored_long(spark, sf), "y", "uid")
+    folds = both_models(stratified_folds(view(spark, sf, "scored"), "actual_failure", "uid"), "fold")
     return E.cv_summary(E.fold_metrics(folds, "model", "fold", "p", "y"), "model")
 
 
@@ -154,9 +157,9 @@ def detector_report(spark, sf):
 
 @query("adjusted_rand", with_views("scored") + """, d AS (SELECT type AS a, CAST(floor(failure_probability * 4) AS INT) AS b FROM scored),
 c AS (SELECT a, b, count(*)::DOUBLE AS n FROM d GROUP BY a, b),
-s AS (SELECT (SELECT sum(n*(n-1)/2) FROM c) AS both, (SELECT sum(n*(n-1)/2) FROM (SELECT sum(n) AS n FROM c GROUP BY a)) AS sa,
+s AS (SELECT (SELECT sum(n*(n-1)/2) FROM c) AS pairs_both, (SELECT sum(n*(n-1)/2) FROM (SELECT sum(n) AS n FROM c GROUP BY a)) AS sa,
  (SELECT sum(n*(n-1)/2) FROM (SELECT sum(n) AS n FROM c GROUP BY b)) AS sb, (SELECT sum(n)*(sum(n)-1)/2 FROM c) AS t)
-SELECT round((both - sa*sb/t) / ((sa+sb)/2 - sa*sb/t), 6) AS ari FROM s""")
+SELECT round((pairs_both - sa*sb/t) / ((sa+sb)/2 - sa*sb/t), 6) AS ari FROM s""")
 def adjusted_rand(spark, sf):
     labels = view(spark, sf, "scored").select("type", F.floor(F.col("failure_probability") * 4).alias("quarter"))
     return E.adjusted_rand(labels, "type", "quarter")
@@ -166,7 +169,7 @@ def adjusted_rand(spark, sf):
 s AS (SELECT k, count(*)::DOUBLE AS n, sum(x) AS sx, sum(y) AS sy, sum(x*x + y*y) AS q FROM p GROUP BY k),
 d AS (SELECT id, p.k AS own, s.k AS other, n, x*x + y*y + q/n - 2*(x*sx + y*sy)/n AS m FROM p, s),
 ab AS (SELECT id, max(CASE WHEN own = other THEN m * n / (n - 1) END) AS a, min(CASE WHEN own <> other THEN m END) AS b FROM d GROUP BY id)
-SELECT CAST(4 AS INT) AS clusters, round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM ab""")
+SELECT (SELECT CAST(count(DISTINCT k) AS INT) FROM p) AS clusters, round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM ab""")
 def silhouette(spark, sf):
     clustered = view(spark, sf, "points").withColumn("cluster", F.floor(F.col("y") / 5).cast("int"))
     value = E.silhouette(clustered, ["x", "y"], "cluster")

@@ -97,6 +97,28 @@ SELECT doc_id, doc_id % 3 <> 0 AS expected_supported,
               CASE WHEN doc_id % 7 = 0 THEN ' Also INC-9999.' ELSE '' END,
               CASE WHEN doc_id % 3 = 0 THEN ' The retrieved evidence is insufficient to answer this safely.' ELSE '' END) AS answer
 FROM {documents}"""),
+    "records": (("documents",), """
+SELECT doc_id, concat('docs/', CASE WHEN doc_id % 20 = 0 THEN 'safety_procedures' ELSE 'synthetic_incidents' END, '/', CAST(doc_id AS STRING), '.md') AS source_path,
+  CASE WHEN doc_id % 20 = 0 THEN concat('# Procedure ', CAST(doc_id AS STRING), chr(10), chr(10), '**Document ID:** FSP-SOP-',
+      lpad(CAST(CAST(floor(doc_id/20) AS INT) AS STRING), 3, '0'), '  ', chr(10), CASE WHEN doc_id % 40 = 0 THEN concat('  **is_synthetic:** True', chr(13), chr(10))
+      WHEN doc_id % 60 = 0 THEN concat('**is_synthetic:** no', chr(10)) ELSE '' END, chr(10), '## Purpose', chr(10), chr(10), text)
+  ELSE concat('# ', lang, ' incident ', CAST(doc_id AS STRING), chr(10), chr(10), '**Incident ID:** INC-', lpad(CAST(doc_id AS STRING), 4, '0'), chr(10), chr(10),
+      '**Machine ID:** MACHINE-', CAST(n_chars AS STRING), chr(10), chr(10), '**Event Type:** ', lang, chr(10), chr(10), '**Severity:** High ', chr(9), chr(10), chr(10),
+      '## Incident Summary', chr(10), chr(10), text, chr(10), chr(10), '## Sensor Context', chr(10), chr(10), '| Sensor | Value |', chr(10), '|---|---:|', chr(10),
+      '| Air temperature | ', CAST(300 + doc_id % 7 AS STRING), '.5 |', chr(10), '| Torque | ', CASE WHEN doc_id % 9 = 0 THEN 'n/a' ELSE CAST(n_chars AS STRING) END, ' |', chr(10), chr(10),
+      '## Possible Contributing Factors', chr(10), chr(10), '- Source ', source, chr(10), '- Length ', CAST(n_chars AS STRING), ' ', chr(10), chr(10),
+      '## Corrective Actions', chr(10), chr(10), '- Inspect ', lang, chr(10), chr(10), '## Data Provenance', chr(10), chr(10), 'Synthetic.',
+      CASE WHEN doc_id % 3 = 0 THEN concat(chr(10), ' **Severity:** Low', chr(10)) ELSE '' END) END AS text
+FROM {documents}"""),
+    "evidence_corpus": (("vectors", "documents"), """
+SELECT v.*, CASE WHEN document_type = 'safety_procedure' THEN 'procedure' ELSE 'incident' END AS evidence_type, d.text
+FROM {vectors} v LEFT JOIN {documents} d ON v.vec_id = d.doc_id"""),
+    "reports": (("answers", "documents"), """
+SELECT a.doc_id, a.expected_supported, a.retrieved_incident, a.retrieved_procedure,
+  concat(CASE WHEN a.doc_id % 2 = 0 THEN '## ' ELSE '' END, CASE WHEN a.doc_id % 4 = 1 THEN 'Facts' ELSE 'FACTS' END, chr(10), d.text, ' ', answer, chr(10),
+    CASE WHEN a.doc_id % 6 = 5 THEN '' ELSE concat('## RECOMMENDED ACTIONS', chr(10), '**Inspect** ', d.lang, ', then FSP-SOP-001 and INC-', lpad(CAST(a.doc_id AS STRING), 4, '0'), ' ', chr(10)) END,
+    'LIMITATIONS', chr(10), 'Synthetic.') AS report
+FROM {answers} a JOIN {documents} d ON a.doc_id = d.doc_id"""),
     "points": (("customer",), """
 SELECT c_custkey AS id, c_acctbal/1000 AS x, CAST(c_nationkey AS DOUBLE) AS y FROM {customer}"""),
 }
