@@ -82,19 +82,14 @@ def report_section(text: str | Column, heading: str, headings: tuple[str, ...] =
 
     Empty when the report has no such heading.
     """
-    listed = F.array(*[F.lit(h.lower()) for h in headings])
-    all_lines = F.split(_col(text), "\n")
-
-    def plain(line: Column) -> Column:
-        return F.lower(F.regexp_replace(strip(line), r"^##\s+", ""))
-
-    tagged = F.transform(all_lines, lambda line, i: F.struct(
-        i.alias("i"), line.alias("line"), plain(line).alias("name"),
-        (F.startswith(line, F.lit("## ")) | F.array_contains(listed, plain(line))).alias("head")))
-    start = F.try_element_at(F.filter(tagged, lambda x: x["head"] & (x["name"] == heading.lower())), F.lit(1))["i"]
-    stop = F.try_element_at(F.filter(tagged, lambda x: x["head"] & (x["i"] > start)), F.lit(1))["i"]
-    body = F.filter(tagged, lambda x: (x["i"] > start) & (stop.isNull() | (x["i"] < stop)))
-    return F.when(start.isNull(), "").otherwise(strip(F.array_join(F.transform(body, lambda x: x["line"]), "\n")))
+    blank = r"[^\S\n]*"
+    head = rf"(?md)^(?:## {blank}([^\n]*?)|{blank}(?:##[^\S\n]+)?((?i:{'|'.join(headings)}))){blank}$"
+    # Each heading line becomes: mark, name, mark.
+    marked = F.regexp_replace(_col(text), head, "\ue000$1$2\ue001")
+    parts = F.split(marked, "\ue000")
+    wanted = F.filter(parts, lambda p: F.lower(F.substring_index(p, "\ue001", 1)) == heading.lower())
+    body = F.try_element_at(F.split(F.try_element_at(wanted, F.lit(1)), "\ue001"), F.lit(2))
+    return F.coalesce(strip(body), F.lit(""))
 
 
 def cited(text: str | Column, pattern: str) -> Column:

@@ -11,6 +11,7 @@ SUBJECTS = (
     "risk_queries",
     "metric_queries",
     "document_queries",
+    "source_queries",
 )
 
 
