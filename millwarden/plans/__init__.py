@@ -12,6 +12,8 @@ SUBJECTS = (
     "metric_queries",
     "document_queries",
     "source_queries",
+    "model_queries",
+    "stream_queries",
 )
 
 
