@@ -183,9 +183,8 @@ def dbscan(df: DataFrame, key: str, features: Sequence[str], eps: float = 0.8, l
     adopted = reached.select("x", F.col("b").alias("cell")).join(named, "cell").groupBy("x").agg(F.min("cluster").alias("cluster"))
     labels = core.join(named, "cell").select("x", "w", "cluster", F.lit(True).alias("is_core")).unionByName(
         adopted.join(points.select("x", "w"), "x").withColumn("is_core", F.lit(False)))
-    spot = F.md5(F.concat_ws(",", F.col("x").cast("array<string>")))
-    per_spot = labels.select(spot.alias("_spot"), "w", "cluster", "is_core")
-    rows = df.select(key, *features, F.array(*[F.col(f).cast("double") for f in features]).alias("x")).withColumn("_spot", spot).drop("x")
+    per_spot = labels.select(F.md5(F.concat_ws(",", F.col("x").cast("array<string>"))).alias("_spot"), "w", "cluster", "is_core")
+    rows = df.select(key, *features, F.md5(F.concat_ws(",", *[F.col(f).cast("double").cast("string") for f in features])).alias("_spot"))
     total = points.agg(F.sum("w")).first()[0] or 0
     return join_per_value(rows, per_spot, "_spot", "w", total).select(
         key, *features, F.coalesce("cluster", F.lit(str(NOISE))).alias("cluster"), F.coalesce("is_core", F.lit(False)).alias("is_core"))

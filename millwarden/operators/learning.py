@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millwarden.operators.preparing import Preparation, fit_preparation
+from millwarden.session import cut_lineage
 from millwarden.operators.splitting import group_split, stratified_folds, stratified_split
 
 SEED = 42
@@ -33,7 +34,7 @@ def classifiers(trees: int = 300, rounds: int = 200, boosted_rounds: int = 300)
     """The one configuration of each model, shared by training, cross-validation and out-of-fold scoring."""
     at = {"featuresCol": "features", "labelCol": "label"}
     return {
-        "logistic_regression": lambda: LogisticRegression(**at, weightCol="weight", maxIter=100),
+        "logistic_regression": lambda: LogisticRegression(**at, weightCol="weight", maxIter=100, tol=1e-4),
         "decision_tree": lambda: DecisionTreeClassifier(**at, weightCol="weight", maxDepth=8, seed=SEED),
         "random_forest": lambda: RandomForestClassifier(**at, weightCol="weight", numTrees=trees, maxDepth=12, seed=SEED),
         "naive_bayes": lambda: NaiveBayes(**at, modelType="gaussian"),
@@ -70,7 +71,7 @@ def score(model: Model, df: DataFrame, keep: Sequence[str], name: str) -> DataFr
 
 def train_and_score(df: DataFrame, key: str, label: str, models: dict[str, Callable[[], Estimator]]) -> DataFrame:
     """Split, prepare on the train part, fit every model, score the held-out part."""
-    split = stratified_split(df, label, key)
+    split = cut_lineage(stratified_split(df, label, key))
     train, test = split.filter("part = 'train'"), split.filter("part = 'test'")
     preparation = fit_preparation(train)
     ready = with_weights(model_input(train, preparation, label, [key])).persist()
@@ -89,7 +90,8 @@ def out_of_fold(df: DataFrame, key: str, label: str, models: dict[str, Callable[
     Preparation is refitted on each fold's own train rows; ``prefit`` learns it
     once on all rows instead.
     """
-    folded = stratified_folds(df, label, key, folds)
+    # Written once: every fold of every model reads it.
+    folded = cut_lineage(stratified_folds(df, label, key, folds))
     shared = fit_preparation(df) if prefit else None
     scored = None
     for fold in range(folds):
@@ -117,7 +119,8 @@ def fourier_features(column: str, width: int, outputs: int = 128, gamma: float |
     return project(column)
 
 
-def margin_classifier(train: DataFrame, held: DataFrame, key: str, width: int, outputs: int = 128, calibration: int = 5) -> DataFrame:
+def margin_classifier(train: DataFrame, held: DataFrame, key: str, width: int, outputs: int = 128, calibration: int = 5,
+                      iterations: int = 50) -> DataFrame:
     """Balanced large-margin classifier on Fourier features, its margins calibrated out of fold to probabilities."""
     def lifted(df: DataFrame) -> DataFrame:
         return df.withColumn("features", array_to_vector(fourier_features("_x", width, outputs)))
@@ -125,7 +128,7 @@ def margin_classifier(train: DataFrame, held: DataFrame, key: str, width: int, o
     def expanded(df: DataFrame) -> DataFrame:
         return lifted(df.withColumn("_x", vector_to_array("features")).drop("features"))
 
-    svm = LinearSVC(featuresCol="features", labelCol="label", weightCol="weight", maxIter=50)
+    svm = LinearSVC(featuresCol="features", labelCol="label", weightCol="weight", maxIter=iterations, tol=1e-3)
     folded = expanded(stratified_folds(train, "label", key, calibration)).persist()
     margins = None
     for fold in range(calibration):

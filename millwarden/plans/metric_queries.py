@@ -332,9 +332,9 @@ def attributions(spark, sf):
     return A.union_models(tables)
 
 
-@query("linear_attribution", ATTRIBUTED + "SELECT uid, model, feature, round(value, 6) AS value FROM a")
+@query("linear_attribution", ATTRIBUTED + "SELECT uid, model, feature, round(value, 9) AS value FROM a")
 def linear_attribution(spark, sf):
-    return attributions(spark, sf).withColumn("value", F.round("value", 6))
+    return attributions(spark, sf).withColumn("value", F.round("value", 9))
 
 
 @query("union_models", ATTRIBUTED + "SELECT model, count(*) AS n FROM a GROUP BY model")
@@ -367,9 +367,9 @@ def top_features(spark, sf):
 @query("dependence_points", ATTRIBUTED + """, t AS (SELECT feature FROM g WHERE model = 'fused' ORDER BY importance DESC, feature LIMIT 2),
 v AS (SELECT uid, 'torque' AS feature, torque AS x FROM telemetry UNION ALL SELECT uid, 'tool_wear', tool_wear FROM telemetry
  UNION ALL SELECT uid, 'rotational_speed', rotational_speed FROM telemetry)
-SELECT a.uid, a.feature, x, round(value, 6) AS value FROM a JOIN v ON a.uid = v.uid AND a.feature = v.feature WHERE model = 'fused' AND a.feature IN (SELECT feature FROM t)""")
+SELECT a.uid, a.feature, x, round(value, 9) AS value FROM a JOIN v ON a.uid = v.uid AND a.feature = v.feature WHERE model = 'fused' AND a.feature IN (SELECT feature FROM t)""")
 def dependence_points(spark, sf):
     from millwarden.operators import attribution as A
 
     fused = attributions(spark, sf).filter("model = 'fused'").drop("model")
-    return A.dependence_points(view(spark, sf, "telemetry"), fused, "uid", list(WEIGHTS["fused"]), 2).withColumn("value", F.round("value", 6))
+    return A.dependence_points(view(spark, sf, "telemetry"), fused, "uid", list(WEIGHTS["fused"]), 2).withColumn("value", F.round("value", 9))

@@ -20,9 +20,9 @@ from millwarden.plans.catalog import query
 from millwarden.plans.document_queries import asked
 from millwarden.plans.metric_queries import labelled
 from millwarden.plans.views import view, with_views
-from millwarden.session import scratch_path
+from millwarden.session import cut_lineage, scratch_path
 
-# Trees and rounds are cut for the queries only; the library defaults are the published sizes.
+# Trees, rounds and iterations are cut for the queries only; the library defaults are the published sizes.
 QUERY_MODELS = {"trees": 20, "rounds": 10, "boosted_rounds": 10}
 
 
@@ -31,7 +31,7 @@ def machines(spark, sf):
 
 
 def prepared_parts(spark, sf):
-    split = stratified_split(machines(spark, sf), "machine_failure", "uid")
+    split = cut_lineage(stratified_split(machines(spark, sf), "machine_failure", "uid"))
     train, test = split.filter("part = 'train'"), split.filter("part = 'test'")
     return prep.fit_preparation(train), train, test
 
@@ -58,7 +58,7 @@ def margin_classifier(spark, sf):
     fitted, train, test = prepared_parts(spark, sf)
     ready = L.with_weights(L.model_input(train, fitted, "machine_failure", ["uid"]))
     held = L.model_input(test, fitted, "machine_failure", ["uid"])
-    return metrics_table(L.margin_classifier(ready, held, "uid", len(fitted.feature_names)))
+    return metrics_table(L.margin_classifier(ready, held, "uid", len(fitted.feature_names), calibration=3, iterations=10))
 
 
 OOF_MODELS = ("logistic_regression", "decision_tree")
