@@ -28,7 +28,7 @@ def _col(column: str | Column) -> Column:
 
 
 def strip(text: str | Column) -> Column:
-    return F.regexp_replace(_col(text), STRIP_PATTERN, "")
+    return F.btrim(_col(text), F.lit(SPACES))
 
 
 def lines(text: str | Column) -> Column:

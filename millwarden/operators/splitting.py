@@ -56,8 +56,10 @@ def hash_cuts(
             if rank > 0:
                 descend((s, i), rank, inner)
     while open_cuts:
-        spans = {(s, prefix) for (s, _), (prefix, _, _) in open_cuts.items()}
-        inside = _any([F.col("s").eqNullSafe(F.lit(s)) & F.col("h").startswith(p) for s, p in sorted(spans, key=str)])
+        spans = {f"{s}|{prefix}" for (s, _), (prefix, _, _) in open_cuts.items()}
+        # One hash per row, whatever the number of open prefixes.
+        place = F.concat(F.coalesce(F.col("s").cast("string"), F.lit("None")), F.lit("|"), F.substring("h", 1, depth))
+        inside = place.isin(sorted(spans))
         if sum(size for _, _, size in open_cuts.values()) <= listed or depth >= 30:
             found = sorted((r["h"], r["k"], r["s"]) for r in rows.filter(inside).collect())
             for (s, i), (prefix, rank, _) in open_cuts.items():
@@ -72,17 +74,16 @@ def hash_cuts(
     return cuts
 
 
-def _at_or_before(key: str, cut: tuple[str, str] | None, seed: int) -> Column:
+def _at_or_before(key: str, cut: tuple[str, str] | None, hashed: Column) -> Column:
     if cut is None:
         return F.lit(False)
-    hashed = seeded_hash(key, seed)
     return (hashed < cut[0]) | ((hashed == cut[0]) & (F.col(key).cast("string") <= cut[1]))
 
 
 def stratified_split(df: DataFrame, stratum: str, key: str, train: str = "0.8", seed: int = 42) -> DataFrame:
     """Add ``part``: the first ``train`` share of each stratum, in hash order, is 'train'."""
     cuts = hash_cuts(df, stratum, key, [Decimal(train)], seed)
-    chosen = _any([F.col(stratum).eqNullSafe(F.lit(s)) & _at_or_before(key, c[0], seed) for s, c in cuts.items()])
+    chosen = _any([F.col(stratum).eqNullSafe(F.lit(s)) & _at_or_before(key, c[0], seeded_hash(key, seed)) for s, c in cuts.items()])
     return df.withColumn("part", F.when(chosen, "train").otherwise("test"))
 
 
@@ -94,16 +95,16 @@ def stratified_folds(df: DataFrame, stratum: str, key: str, folds: int = 5, seed
     for s, marks in cuts.items():
         chain = F.lit(folds - 1)
         for i in range(folds - 2, -1, -1):
-            chain = F.when(_at_or_before(key, marks[i], seed), i).otherwise(chain)
+            chain = F.when(_at_or_before(key, marks[i], F.col("_h")), i).otherwise(chain)
         fold = F.when(F.col(stratum).eqNullSafe(F.lit(s)), chain).otherwise(fold)
-    return df.withColumn("fold", fold)
+    return df.withColumn("_h", seeded_hash(key, seed)).withColumn("fold", fold).drop("_h")
 
 
 def group_split(df: DataFrame, group: str, held_out: str = "0.2", seed: int = 42) -> DataFrame:
     """Add ``part``: all rows of a group go the same way; ``held_out`` of the groups validate."""
     units = df.select(group).distinct().withColumn("_all", F.lit(0))
     cut = hash_cuts(units, "_all", group, [Decimal(held_out)], seed).get(0, [None])[0]
-    return df.withColumn("part", F.when(_at_or_before(group, cut, seed), "validation").otherwise("train"))
+    return df.withColumn("part", F.when(_at_or_before(group, cut, seeded_hash(group, seed)), "validation").otherwise("train"))
 
 
 def sample_rows(df: DataFrame, key: str, n: int = 1000, seed: int = 42) -> DataFrame:

@@ -10,6 +10,7 @@ from millwarden.operators import series as S
 from millwarden.operators.splitting import stratified_folds
 from millwarden.plans.catalog import query
 from millwarden.plans.views import view, with_views
+from millwarden.session import cut_lineage
 
 MODELS = ("fused", "wear")
 LONG = with_views("scored") + """, long AS (SELECT uid, actual_failure AS y, 'fused' AS model, failure_probability AS p FROM scored
@@ -144,7 +145,7 @@ m AS (SELECT model, fold, {PRECISION} AS precision, {RECALL} AS recall, {F1} AS
     f"round(avg({c}), 6) AS {c}_mean, round(stddev_pop({c}), 6) AS {c}_std" for c in ("precision", "recall", "f1", "roc_auc", "average_precision"))
     + " FROM m GROUP BY model")
 def cv_summary(spark, sf):
-    folds = both_models(stratified_folds(view(spark, sf, "scored"), "actual_failure", "uid"), "fold")
+    folds = both_models(cut_lineage(stratified_folds(view(spark, sf, "scored"), "actual_failure", "uid")), "fold")
     return E.cv_summary(E.fold_metrics(folds, "model", "fold", "p", "y"), "model")
 
 

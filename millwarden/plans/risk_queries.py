@@ -10,6 +10,7 @@ from millwarden.operators import risk as R
 from millwarden.operators import splitting
 from millwarden.plans.catalog import query
 from millwarden.plans.views import view, with_views
+from millwarden.session import cut_lineage
 
 BAND_SQL = """CASE WHEN {s} IS NULL THEN NULL WHEN {s} < 0.25 THEN 'Low' WHEN {s} < 0.5 THEN 'Medium'
  WHEN {s} < 0.75 THEN 'High' ELSE 'Critical' END"""
@@ -360,7 +361,7 @@ def risk_ranks(spark, sf):
 @query("risk_table", RANKED + f"SELECT {RISK_COLUMNS}, failure_probability_rank, risk_rank FROM k")
 def risk_table(spark, sf):
     """Ranks are over scores rounded to 6 places, as shown."""
-    rounded = banded(spark, sf).withColumn("unified_risk_score", F.round("unified_risk_score", 6))
+    rounded = cut_lineage(banded(spark, sf).withColumn("unified_risk_score", F.round("unified_risk_score", 6)))
     ranked = R.competition_ranks(rounded, {"failure_probability": "failure_probability_rank", "unified_risk_score": "risk_rank"})
     return shown(ranked, "failure_probability_rank", "risk_rank")
 

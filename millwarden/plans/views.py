@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from millwarden.operators.ranking import grouped_positions
 from millwarden.operators.splitting import stratified_split
+from millwarden.session import cut_lineage
 
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "telemetry": (("lineitem",), """
@@ -141,7 +142,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in VIEWS:
         return table(spark, sf_dir, name)
     if name == "split":
-        return stratified_split(view(spark, sf_dir, "telemetry"), "machine_failure", "uid")
+        # Every fit reads the split several times, so it is written once.
+        return cut_lineage(stratified_split(view(spark, sf_dir, "telemetry"), "machine_failure", "uid"))
     if name == "trajectories":
         events = table(spark, sf_dir, "events").withColumn("second", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
         ranked = grouped_positions(events, "user_id", "second", ["ts", "event_id"], "cycle")
