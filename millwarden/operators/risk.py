@@ -19,7 +19,7 @@ from millwarden.functions.scoring import (
     temperature_differential,
 )
 from millwarden.operators.quantiles import exact_quantiles
-from millwarden.operators.ranking import competition_ranks
+from millwarden.operators.ranking import BROADCAST_VALUES, competition_ranks
 
 
 def scaled(column: str, low: float | None, high: float | None, clipped: bool = False) -> Column:
@@ -180,5 +180,5 @@ def attach_thresholds(df: DataFrame, thresholds: DataFrame, model: str = "model"
     lost = [r[0] for r in names.join(thresholds, model, "left_anti").limit(20).collect()]
     if lost:
         raise ValueError(f"no locked threshold for {lost}")
-    # One row per model.
-    return df.join(F.broadcast(thresholds), model)
+    few = thresholds.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES
+    return df.join(F.broadcast(thresholds) if few else thresholds, model)

@@ -148,13 +148,11 @@ def retrieve(spark, sf):
     return shown(hits, "rank", "event_type", "severity")
 
 
-@query("evidence_rank", ASKED + "SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 6), vec_id)::INT AS rank FROM pairs WHERE wanted_event = event_type")
+@query("evidence_rank", ASKED + TOP.format(n="h", where="event_type = wanted_event", k=20) + "SELECT query_id, vec_id, rank FROM h")
 def evidence_rank(spark, sf):
-    """Every hit of a question's own event type, ranked; ranks go well past a page of results."""
-    corpus = V.keep_filters(view(spark, sf, "vectors")).select("vec_id", "event_type", "embedding")
-    pairs = corpus.join(F.broadcast(asked(spark, sf).select("query_id", "vector", "event_type")), "event_type")
-    dot = F.aggregate(F.zip_with("embedding", "vector", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, x: a + x)
-    return V.ranked(pairs.withColumn("distance", 2 - 2 * dot)).select("query_id", "vec_id", "rank")
+    """Hits of each question's own event type, numbered by distance."""
+    hits = V.similarity_topk(V.keep_filters(view(spark, sf, "vectors")), asked(spark, sf), 20, ("event_type",))
+    return hits.select("query_id", "vec_id", "rank")
 
 
 FALLBACK = (ASKED + TOP.format(n="f", where="document_type = 'synthetic_incident' AND event_type = wanted_event AND severity = coalesce(wanted_severity, severity)", k=6)
@@ -216,7 +214,7 @@ def incident_evidence(spark, sf):
 def union_evidence(spark, sf):
     corpus, questions = view(spark, sf, "evidence_corpus"), asked(spark, sf).withColumn("wanted_event", F.col("event_type"))
     procedures = V.retrieve(corpus, questions, 6, (), document_type="safety_procedure").drop("rank")
-    procedures = V.relevant_procedures(procedures.join(F.broadcast(questions.select("query_id", "wanted_event")), "query_id"))
+    procedures = V.relevant_procedures(procedures.join(questions.select("query_id", "wanted_event"), "query_id"))
     both = V.union_evidence(V.dedupe_evidence(_fallback(spark, sf), "incident_id"), V.dedupe_evidence(procedures, "procedure_id"))
     return both.groupBy("retrieval_role").agg(F.count("*").alias("n"))
 
