@@ -44,7 +44,7 @@ def whole_file(uri: str, name: str, attempt: int) -> Iterator[pa.NativeFile]:
     system, folder = file_system(uri)
     system.create_dir(folder, recursive=True)
     draft = f"{folder}/.{name}.{attempt}"
-    with system.open_output_stream(draft) as out:
+    with system.open_output_stream(draft, compression=None) as out:
         yield out
     system.move(draft, f"{folder}/{name}")
 
