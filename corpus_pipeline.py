@@ -1,13 +1,67 @@
-"""Training-data pipeline over ``documents``: filter, deduplicate, decontaminate, pack."""
+"""Training-data pipeline over ``documents``: quality rules, toxicity, near duplicates, decontamination, packing.
+
+Every stage takes (spark, docs, sf_dir), works on all rows it is given and returns a DataFrame; all but the last keep the
+columns of ``docs``.  Stages handle nulls in any column, empty and long texts, repeated rows and extra columns as their
+operators state; of rows that share a key the near-duplicate stage keeps one.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from millwarden.llm import neardup, packing, quality, templates, toxicity
+from millwarden.llm.queries import vocabulary
+from millwarden.session import cut_lineage
+
+#: Score from which a document is rejected as toxic.
+TOXIC = 0.5
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weighed rules keep."""
+    return quality.filter_quality(docs)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents under the toxic score; the model learns from the labels outside the held-out fifth."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs, model)
+    name = scored.columns[-1]
+    return scored.filter(F.col(name) < TOXIC).drop(name)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of each near-duplicate component with the least key, once; rows without a key stay."""
+    kept = cut_lineage(neardup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct())
+    once = docs.filter("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(docs.filter("doc_id IS NULL"))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that give no benchmark item away."""
+    return templates.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed."""
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+
+#: Fits, signatures and packing are beyond SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's rows are written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

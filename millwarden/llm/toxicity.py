@@ -27,8 +27,8 @@ from millwarden.llm.common import fresh_name
 from millwarden.session import cut_lineage
 
 #: Labelled rows of each class that training sees at most (about: a hash decides), rows of a shard, rounds.
-SAMPLE, SHARD, ROUNDS = 12_000, 3_000, 3
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.5, 0.05
+SAMPLE, SHARD, ROUNDS = 12_000, 3_000, 5
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.01
 #: A feature is learned from that many documents of a shard on.
 SEEN = 2
 HELD = 300_000
@@ -170,10 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         own = index >= 0
         state = State(index[own].astype(np.uint32), z[own], n[own], (float(z[~own][0]), float(n[~own][0])) if (~own).any() else (0.0, 0.0))
     w = weights(state.z, state.n)
-    # The sample's share of toxic rows is not the labels' share: the bias is moved by the difference in log odds.
-    taken = {y: min(sample, counts.get(y, 0)) + 0.5 for y in (0, 1)}
-    whole = {y: counts.get(y, 0) + 0.5 for y in (0, 1)}
-    bias = -state.bias[0] / ((BETA + np.sqrt(state.bias[1])) / ALPHA) + np.log(whole[1] / whole[0]) - np.log(taken[1] / taken[0])
+    bias = -state.bias[0] / ((BETA + np.sqrt(state.bias[1])) / ALPHA)
     return Model(state.index[w != 0], w[w != 0], float(bias) if counts else float(np.log(1 / 3)))
 
 
