@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millwarden.functions.scoring import ENGINEERED, FEATURES, clip, mechanical_power, ratio, temperature_differential
-from millwarden.operators.profiling import long_form
 from millwarden.operators.quantiles import exact_quantiles
 
 LEAKAGE = ("uid", "machine_failure", "twf", "hdf", "pwf", "osf", "rnf")
@@ -108,7 +107,7 @@ class Preparation:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Raw sensors to model features; other columns pass through."""
-        ready = engineer_features(df)
+        ready = engineer_features(df) if any(f in ENGINEERED for f in self.moments) else df
         ready = standardize(clip_outliers(ready, self.bounds), self.moments)
         return one_hot(ready, self.category, self.categories)
 
@@ -119,17 +118,17 @@ class Preparation:
 
     def save(self, spark: SparkSession, path: str) -> None:
         values = asdict(self)
-        rows = [(c, *b, *self.moments[c]) for c, b in values["bounds"].items()]
-        spark.createDataFrame(rows, "feature string, q1 double, q3 double, low double, high double, mean double, std double"
+        rows = [(i, c, *values["bounds"][c], *m) for i, (c, m) in enumerate(self.moments.items())]
+        spark.createDataFrame(rows, "position int, feature string, q1 double, q3 double, low double, high double, mean double, std double"
                               ).write.mode("overwrite").parquet(f"{path}/numeric")
         spark.createDataFrame([(i, self.category, c) for i, c in enumerate(self.categories)],
                               "position int, category string, value string").write.mode("overwrite").parquet(f"{path}/categories")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, order: Sequence[str] = FEATURES) -> Preparation:
-        rows = {r["feature"]: r for r in spark.read.parquet(f"{path}/numeric").collect()}
+    def load(cls, spark: SparkSession, path: str) -> Preparation:
+        rows = {r["feature"]: r for r in spark.read.parquet(f"{path}/numeric").orderBy("position").collect()}
         cats = spark.read.parquet(f"{path}/categories").orderBy("position").collect()
-        names = [f for f in order if f in rows]
+        names = list(rows)
         return cls({f: (rows[f]["q1"], rows[f]["q3"], rows[f]["low"], rows[f]["high"]) for f in names},
                    {f: (rows[f]["mean"], rows[f]["std"]) for f in names},
                    cats[0]["category"] if cats else "type", [r["value"] for r in cats])
@@ -142,6 +141,3 @@ def fit_preparation(train: DataFrame, features: Sequence[str] = FEATURES, catego
     moments = scaler_moments(clip_outliers(ready, bounds), features)
     return Preparation(bounds, moments, category, categories_of(train, category))
 
-
-def prepared_long(df: DataFrame, preparation: Preparation, key: str) -> DataFrame:
-    return long_form(preparation.transform(df), preparation.feature_names, [key])

@@ -1,57 +1,73 @@
 """Exact quantiles with bounded memory.
 
-Spark's ``percentile`` keeps a map of all distinct values per group in one task,
-which a continuous column at scale overflows.  A mergeable sketch brackets each
-wanted rank; one more pass counts the rows below each bracket and lists the
-distinct values inside.  Brackets are verified by those counts, so the sketch
-affects the cost and not the result.
+Spark's ``percentile`` keeps a map of all distinct values per group in one task, which a continuous column at scale overflows.
+A mergeable sketch brackets each wanted rank between two values of the column.  A pass counts, per bracket, the rows below it,
+at either end and strictly between, and sketches those between.  A rank at an end is settled, however heavy that value is; one
+between is settled if few rows are there, else the next bracket lies strictly inside.  Brackets lose their end values with every
+pass and shrink by about a thousandth, so a few passes do at any size.  Only counts and one short array per bracket reach the driver.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Key = tuple  # (group values..., column)
 
-
-def _gate(by: Sequence[str], group: tuple) -> Column:
-    gate = F.lit(True)
-    for name, value in zip(by, group):
-        gate = gate & F.col(name).eqNullSafe(F.lit(value))
-    return gate
-
-
-def _tagged(df: DataFrame, columns: Sequence[str], by: Sequence[str], brackets: dict[Key, list[tuple[float, float]]]) -> DataFrame:
-    """One row per (row, column): its bracket (odd cells) or the gap between brackets (even cells)."""
-    parts = []
-    for column in columns:
-        value = F.col(column).cast("double")
-        cell = F.lit(0)
-        for key, spans in brackets.items():
-            if key[-1] != column:
-                continue
-            chain = F.lit(2 * len(spans))
-            for i in range(len(spans) - 1, -1, -1):
-                low, high = spans[i]
-                chain = F.when(value < F.lit(low), 2 * i).when(value <= F.lit(high), 2 * i + 1).otherwise(chain)
-            cell = F.when(_gate(by, key[:-1]), chain).otherwise(cell)
-        parts.append(F.struct(F.lit(column).alias("_column"), cell.alias("_cell"), value.alias("_value")))
-    long = df.select(*by, F.inline(F.array(*parts)))
-    return long.filter(F.col("_value").isNotNull() & ~F.isnan("_value"))
-
-
-def _merge(spans: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    merged: list[tuple[float, float]] = []
-    for low, high in sorted(spans):
-        if merged and low <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(merged[-1][1], high))
+#: Points of the sketch inside a bracket; with at most half as many rows there, each row's value is among them.
+GRID = 1000
+#: Accuracy of sketches: of fewer rows than that they are exact.
+ACCURACY = 10_000
+
+
+@dataclass
+class _Bracket:
+    """Values around two neighbouring ranks; outer values are known to have the ranks at or between them."""
+
+    ranks: tuple[int, int]
+    low: float
+    high: float
+    outer: tuple[float, float]
+
+
+def _value(column: str) -> Column:
+    value = F.col(column).cast("double")
+    return F.when(~F.isnan(value), value)
+
+
+def _settle(bracket: _Bracket, found: dict[int, float], below: int, at_low: int, inside: int, at_high: int, grid: list[float] | None, exact_rows: int) -> bool:
+    """Settle ranks of the bracket from its counts; else narrow it.  True if both ranks are settled."""
+    low, high = bracket.low, bracket.high
+    open_ranks, places = [], []
+    for rank in bracket.ranks:
+        if rank in found:
+            continue
+        k = rank - below
+        if 0 <= k < at_low:
+            found[rank] = low
+        elif at_low <= k < at_low + inside and inside <= exact_rows:
+            found[rank] = grid[round((k - at_low + 0.5) / inside * GRID)]
+        elif at_low + inside <= k < at_low + inside + at_high:
+            found[rank] = high
+        else:
+            open_ranks.append(k)
+    if not open_ranks:
+        return True
+    for k in open_ranks:
+        if k < 0:  # the sketch was off: between the outer end and this bracket
+            places.append((bracket.outer[0], low, (bracket.outer[0], low)))
+        elif k < at_low + inside:
+            i = (k - at_low + 0.5) / inside * GRID
+            places.append((grid[max(0, math.floor(i) - 2)], grid[min(GRID, math.ceil(i) + 2)], (low, high)))
         else:
-            merged.append((low, high))
-    return merged
+            places.append((high, bracket.outer[1], (high, bracket.outer[1])))
+    bracket.low, bracket.high = min(p[0] for p in places), max(p[1] for p in places)
+    bracket.outer = (min(p[2][0] for p in places), max(p[2][1] for p in places))
+    return False
 
 
 def exact_quantiles(
@@ -59,104 +75,80 @@ def exact_quantiles(
     columns: Sequence[str],
     probs: Sequence[float],
     by: Sequence[str] = (),
-    accuracy: int = 2_000,
-    listed: int = 200_000,
+    accuracy: int = ACCURACY,
+    listed: int = GRID // 2,
 ) -> dict[Key, dict[float, float | None]]:
     """Linearly interpolated quantiles per group and column.
 
-    Returns ``{(group..., column): {prob: value}}``; ``by`` must have few groups.
-    ``listed`` bounds the distinct values per bracket brought to the driver:
-    wider brackets are narrowed by another sketch pass first.
+    Returns ``{(group..., column): {prob: value}}``: the result is the driver's, so ``by`` must have few groups.
+    ``listed`` (at most half of GRID) is the number of rows strictly inside a bracket up to which it is settled at once.
     """
-    columns, by = list(columns), list(by)
-    groups_keys = [*by, "_column"]
+    columns, by, listed = list(columns), list(by), min(listed, GRID // 2)
     margin = 2.0 / accuracy
     wanted = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-margin, margin)} | {0.0, 1.0})
-    sketch = (
-        _tagged(df, columns, by, {}).groupBy(*groups_keys)
-        .agg(F.count("*").alias("_n"), F.percentile_approx("_value", wanted, 4 * accuracy).alias("_q"),
-             F.min("_value").alias("_low"), F.max("_value").alias("_high")).collect())
+    first = [F.struct(F.count(_value(c)).alias("n"), F.percentile_approx(_value(c), wanted, accuracy).alias("q"),
+                      F.min(_value(c)).alias("low"), F.max(_value(c)).alias("high")).alias(f"_{i}") for i, c in enumerate(columns)]
     sizes: dict[Key, int] = {}
-    spans: dict[Key, dict[float, tuple[float, float]]] = {}
-    ends: dict[Key, tuple[float, float]] = {}
-    for row in sketch:
-        key = tuple(row[c] for c in groups_keys)
-        sizes[key] = row["_n"]
-        at = dict(zip(wanted, row["_q"]))
-        at[0.0], at[1.0] = row["_low"], row["_high"]
-        ends[key] = (row["_low"], row["_high"])
-        spans[key] = {p: (at[max(0.0, p - margin)], at[min(1.0, p + margin)]) for p in probs}
-
-    def ranks(key: Key, p: float) -> tuple[int, int, float]:
-        place = p * (sizes[key] - 1)
-        low = min(math.floor(place + 1e-9), sizes[key] - 1)
-        return low, min(low + (1 if place - low > 1e-9 else 0), sizes[key] - 1), max(0.0, place - low)
-
-    while True:
-        merged = {key: _merge(list(s.values())) for key, s in spans.items()}
-        tagged = _tagged(df, columns, by, merged)
-        fine = [i / 1000 for i in range(1001)]
-        expected = max((4 * margin * n for n in sizes.values()), default=0)
-        if expected > listed:
-            # Too many values may sit inside: count, sketch inside, narrow.
-            rows = tagged.groupBy(*groups_keys, "_cell").agg(
-                F.count("*").alias("_n"),
-                F.when(F.max("_cell") % 2 == 1, F.percentile_approx("_value", fine, 4 * accuracy)).alias("_q"),
-                F.min("_value").alias("_low"), F.max("_value").alias("_high")).collect()
-            cells: dict[Key, dict[int, tuple]] = {}
-            for row in rows:
-                cells.setdefault(tuple(row[c] for c in groups_keys), {})[row["_cell"]] = (
-                    row["_n"], row["_q"], row["_low"], row["_high"])
-            crowded = False
-            for key in spans:
-                for p in probs:
-                    low_rank, high_rank, _ = ranks(key, p)
-                    seen, found = 0, None
-                    for cell in sorted(cells[key]):
-                        n, inner, low, high = cells[key][cell]
-                        if cell % 2 == 1 and seen <= low_rank and high_rank < seen + n:
-                            if n > listed and low < high:
-                                crowded = True
-                                start = max(0, math.floor((low_rank - seen) / n * 1000) - 2)
-                                stop = min(1000, math.ceil((high_rank - seen) / n * 1000) + 2)
-                                found = (low if start == 0 else inner[start], high if stop == 1000 else inner[stop])
-                                if found == (low, high) or found[0] > found[1]:
-                                    found, crowded = (low, high), False
-                            else:
-                                found = (low, high)
-                        seen += n
-                    spans[key][p] = found or ends[key]
-            if crowded:
+    values: dict[Key, dict[int, float]] = {}
+    brackets: dict[Key, list[_Bracket]] = {}
+    for row in df.groupBy(*by).agg(*first).collect():
+        for i, column in enumerate(columns):
+            cell = row[f"_{i}"]
+            if not cell["n"]:
                 continue
-            merged = {key: _merge(list(s.values())) for key, s in spans.items()}
-            tagged = _tagged(df, columns, by, merged)
-        kept = F.when(F.col("_cell") % 2 == 1, F.col("_value"))
-        rows = tagged.groupBy(*groups_keys, "_cell", kept.alias("_kept")).agg(F.count("*").alias("_n")).collect()
-        runs: dict[Key, list[tuple[int, float | None, int]]] = {}
-        for row in rows:
-            runs.setdefault(tuple(row[c] for c in groups_keys), []).append((row["_cell"], row["_kept"], row["_n"]))
-        result: dict[Key, dict[float, float | None]] = {}
-        missed = False
-        for key in spans:
-            ordered = sorted(runs[key], key=lambda r: (r[0], r[1] if r[1] is not None else 0.0))
-            result[key] = {}
-            for p in probs:
-                low_rank, high_rank, part = ranks(key, p)
-                seen, low_value, high_value, outside = 0, None, None, False
-                for _, value, n in ordered:
-                    for rank in {low_rank, high_rank}:
-                        if seen <= rank < seen + n:
-                            if value is None:
-                                outside = True
-                            elif rank == low_rank:
-                                low_value = value
-                            if rank == high_rank and value is not None:
-                                high_value = value
-                    seen += n
-                if outside:
-                    missed = True
-                    spans[key][p] = ends[key]
-                else:
-                    result[key][p] = low_value + (high_value - low_value) * part
-        if not missed:
-            return result
+            key = (*(row[b] for b in by), column)
+            at = dict(zip(wanted, cell["q"])) | {0.0: cell["low"], 1.0: cell["high"]}
+            sizes[key], values[key] = cell["n"], {}
+            brackets[key] = [_Bracket(_ranks(cell["n"], p)[:2], at[max(0.0, p - margin)], at[min(1.0, p + margin)], (cell["low"], cell["high"])) for p in probs]
+    grid = [i / GRID for i in range(GRID + 1)]
+    while brackets:
+        bounded, most = _with_bounds(df, by, columns, brackets)
+        cells = []
+        for i, column in enumerate(columns):
+            v = _value(column)
+            for k in range(most.get(column, 0)):
+                low, high = F.col(f"_low_{i}_{k}"), F.col(f"_high_{i}_{k}")
+                inside = (v > low) & (v < high)
+                cells.append(F.struct(F.count_if(v < low).alias("below"), F.count_if(v == low).alias("at_low"), F.count_if(inside).alias("inside"),
+                                      F.count_if((v == high) & (high > low)).alias("at_high"),
+                                      F.percentile_approx(F.when(inside, v), grid, accuracy).alias("grid")).alias(f"_{i}_{k}"))
+        left: dict[Key, list[_Bracket]] = {}
+        for row in bounded.groupBy(*by).agg(*cells).collect():
+            for i, column in enumerate(columns):
+                key = (*(row[b] for b in by), column)
+                for k, bracket in enumerate(brackets.get(key, ())):
+                    if not _settle(bracket, values[key], *row[f"_{i}_{k}"], min(listed, accuracy // 2)):
+                        left.setdefault(key, []).append(bracket)
+        brackets = left
+    result: dict[Key, dict[float, float | None]] = {}
+    for key, n in sizes.items():
+        result[key] = {}
+        for p in probs:
+            low, high, part = _ranks(n, p)
+            result[key][p] = values[key][low] + (values[key][high] - values[key][low]) * part
+    return result
+
+
+def _ranks(n: int, p: float) -> tuple[int, int, float]:
+    place = p * (n - 1)
+    low = min(math.floor(place + 1e-9), n - 1)
+    return low, min(low + (1 if place - low > 1e-9 else 0), n - 1), max(0.0, place - low)
+
+
+def _with_bounds(df: DataFrame, by: list[str], columns: list[str], brackets: dict[Key, list[_Bracket]]) -> tuple[DataFrame, dict[str, int]]:
+    """``df`` with the ends of its group's brackets as columns, and the number of brackets of each column."""
+    most = {c: max((len(b) for key, b in brackets.items() if key[-1] == c), default=0) for c in columns}
+    names = [f"_{end}_{i}_{k}" for i, c in enumerate(columns) for k in range(most[c]) for end in ("low", "high")]
+    groups: dict[tuple, dict[str, float]] = {}
+    for key, spans in brackets.items():
+        row = groups.setdefault(key[:-1], {})
+        for k, b in enumerate(spans):
+            row[f"_low_{columns.index(key[-1])}_{k}"], row[f"_high_{columns.index(key[-1])}_{k}"] = b.low, b.high
+    if not by:
+        return df.withColumns({n: F.lit(groups[()].get(n)).cast("double") for n in names}), most
+    kinds = ", ".join([f"_by_{i} {df.schema[b].dataType.simpleString()}" for i, b in enumerate(by)] + [f"{n} double" for n in names])
+    table = df.sparkSession.createDataFrame([(*group, *(row.get(n) for n in names)) for group, row in groups.items()], kinds)
+    same = F.lit(True)
+    for i, b in enumerate(by):
+        same = same & df[b].eqNullSafe(table[f"_by_{i}"])
+    return df.join(table, same).drop(*(f"_by_{i}" for i in range(len(by)))), most

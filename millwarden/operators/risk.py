@@ -103,8 +103,10 @@ def search_machines(df: DataFrame, text: str, columns: Sequence[str] = ("machine
 
 
 def machine_id_text(column: str) -> Column:
-    """Identifier as text, without the '.0' a float column leaves."""
-    return F.regexp_replace(F.col(column).cast("string"), r"\.0$", "")
+    """Identifier as text, without the '.0' or the exponent a float column leaves."""
+    number = F.col(column).try_cast("double")
+    whole = F.typeof(F.col(column)).isin("double", "float") & (number == F.floor(number)) & (F.abs(number) < 1e15)
+    return F.when(whole, number.cast("decimal(38,0)").cast("string")).otherwise(F.regexp_replace(F.col(column).cast("string"), r"\.0$", ""))
 
 
 def coerce_numeric(df: DataFrame, numbers: Sequence[str], label: str | None = None) -> DataFrame:
@@ -112,7 +114,7 @@ def coerce_numeric(df: DataFrame, numbers: Sequence[str], label: str | None = No
     out = df.withColumns({c: F.col(c).try_cast("double") for c in numbers})
     if label is None:
         return out
-    return out.withColumn(label, F.coalesce(F.col(label).try_cast("double").cast("int"), F.lit(0)))
+    return out.withColumn(label, F.coalesce(F.col(label).try_cast("double").try_cast("int"), F.lit(0)))
 
 
 def band_distribution(df: DataFrame, band: str = "risk_band") -> DataFrame:

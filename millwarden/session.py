@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
+import re
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, memory: str = "12g") -> SparkSession:
-    """Session for tests and the bench; a cluster brings its own."""
+    """Session for tests and the bench, with a shared folder of its own; a cluster brings both."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("millwarden")
@@ -20,21 +22,30 @@ def local_session(cores: int | str = 8, memory: str = "12g") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.checkpoint.dir", own_folder())
         .getOrCreate()
     )
 
 
+def own_folder() -> str:
+    """A fresh folder of this machine, for sessions that have no other machine."""
+    folder = Path(os.environ.get("MILLWARDEN_SCRATCH", "/tmp")) / f"millwarden-{uuid.uuid4().hex}"
+    folder.mkdir(parents=True)
+    return str(folder)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a session that names none (tests, a laptop) gets a temporary one.
+    Where that is unset, a session within one process gets a folder of its own; on a cluster it is an error, as each executor
+    would write to its own disk.
     """
     context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = context.getCheckpointDir()
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
-        folder = tempfile.mkdtemp(prefix="millwarden-")
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = own_folder()
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder

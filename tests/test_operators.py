@@ -88,6 +88,53 @@ def test_quantiles_match_numpy_with_narrowing(spark):
         assert groups[(g, "v")][0.5] == pytest.approx(np.quantile(values[np.arange(len(values)) % 2 == g], 0.5))
 
 
+def test_quantiles_of_a_heavy_value_end(spark):
+    """Half of the rows are one value in the middle: passes stay few and the values exact."""
+    values = np.concatenate([np.full(20_000, 0.5), np.linspace(0, 1, 20_000)])
+    df = spark.createDataFrame(np.random.default_rng(3).permutation(values).reshape(-1, 1).tolist(), "v double")
+    for options in ({"listed": 200}, {"accuracy": 50, "listed": 2}):
+        got = exact_quantiles(df, ["v"], (0.25, 0.5, 0.75, 0.2501, 0.7499), **options)[("v",)]
+        for p, found in got.items():
+            assert found == pytest.approx(np.quantile(values, p), rel=1e-12)
+
+
+def test_machine_ids_from_ten_million_up(spark):
+    df = frame(spark, [(10_000_000.0,), (12_345_678.0,), (7.0,), (7.5,), (None,)], "c double")
+    assert [r[0] for r in df.select(R.machine_id_text("c")).collect()] == ["10000000", "12345678", "7", "7.5", None]
+    assert frame(spark, [("007.0",)], "c string").select(R.machine_id_text("c")).first()[0] == "007"
+
+
+def test_unreadable_labels(spark):
+    df = frame(spark, [("NaN",), ("1e300",), ("1.0",), ("x",)], "label string")
+    assert [r[0] for r in R.coerce_numeric(df, [], "label").collect()] == [0, 0, 1, 0]
+
+
+def test_windows_across_missing_cycles(spark):
+    cycles = [c for c in range(1, 1101) if c not in (980, 985)]
+    df = frame(spark, [(1, c, float(c), c) for c in cycles], "unit_id int, cycle int, s double, rul int")
+    ends = [r.end_cycle for r in series.sliding_windows(df, ["s"]).orderBy("end_cycle").collect()]
+    assert ends == cycles[29:]
+
+
+def test_preparation_is_loaded_as_it_was_saved(spark, tmp_path):
+    df = frame(spark, [(float(i), float(i % 7), "HL"[i % 2]) for i in range(40)], "vibration double, torque double, type string")
+    fitted = P.fit_preparation(df, ["vibration", "torque"])
+    fitted.save(spark, str(tmp_path))
+    again = P.Preparation.load(spark, str(tmp_path))
+    assert again.feature_names == fitted.feature_names == ["vibration", "torque", "type_H", "type_L"]
+    assert again.transform(df).exceptAll(fitted.transform(df)).isEmpty()
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from millwarden.session import shared_folder
+
+    context = SimpleNamespace(getConf=lambda: {}, getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None)))
+
+
 def test_quantiles_skip_nulls_and_take_single_rows(spark):
     df = frame(spark, [(None,), (3.0,)], "v double")
     assert exact_quantiles(df, ["v"], [0.3])[("v",)][0.3] == 3.0
