@@ -113,13 +113,15 @@ def preview(text: str | Column, size: int = 250, n_lines: int = 2) -> Column:
     return F.left(F.replace(F.array_join(kept, " "), F.lit("**"), F.lit("")), F.lit(size))
 
 
+#: Search sentences: before and after the event, and without one.
+SEARCHES = {
+    "incident": ("earlier trouble on the line with ", "", "earlier trouble on the line"),
+    "procedure": ("work instruction for ", ": what to do and how to prevent it", "work instruction: what to do and how to prevent it"),
+}
+
+
 def event_query(event: str | Column, kind: str) -> Column:
     """Search text for an event type; a general one when there is none."""
+    before, after, general = SEARCHES[kind]
     readable = F.replace(_col(event), F.lit("_"), F.lit(" "))
-    has = F.length(_col(event)) > 0
-    if kind == "incident":
-        return F.when(has, F.concat(F.lit("historical industrial safety incident machine "), readable)).otherwise(
-            "historical industrial machine safety incident abnormal operating condition")
-    return F.when(has, F.concat(F.lit("safety procedure SOP machine "), readable,
-                                F.lit(" operator response corrective actions preventive actions"))).otherwise(
-        "industrial machine safety procedure SOP operator response corrective actions preventive actions")
+    return F.when(F.length(_col(event)) > 0, F.concat(F.lit(before), readable, F.lit(after))).otherwise(general)

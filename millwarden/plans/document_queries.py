@@ -240,7 +240,7 @@ def format_evidence(spark, sf):
     return V.format_evidence(chosen(spark, sf), asked(spark, sf), "final_rank")
 
 
-@query("prompt_batch", FORMATTED + f"""SELECT query_id, concat({sql_text(V.INSTRUCTIONS)}, chr(10), chr(10), 'QUESTION', chr(10), 'historical industrial safety incident machine ',
+@query("prompt_batch", FORMATTED + f"""SELECT query_id, concat({sql_text(V.INSTRUCTIONS)}, chr(10), chr(10), 'QUESTION', chr(10), '{T.SEARCHES["incident"][0]}',
  replace(query_id, '_', ' '), chr(10), chr(10), 'EVIDENCE', chr(10), evidence_text) AS prompt FROM formatted""")
 def prompt_batch(spark, sf):
     questions = asked(spark, sf).select("query_id", T.event_query("event_type", "incident").alias("question"))
@@ -253,10 +253,12 @@ def evidence_table(spark, sf):
     return V.evidence_table(chosen(spark, sf), "final_rank").withColumn("distance", F.round("distance", 6))
 
 
-@query("evidence_queries", """SELECT event_type, CASE WHEN event_type IS NULL THEN 'historical industrial machine safety incident abnormal operating condition'
- ELSE concat('historical industrial safety incident machine ', replace(event_type, '_', ' ')) END AS incident_query,
- CASE WHEN event_type IS NULL THEN 'industrial machine safety procedure SOP operator response corrective actions preventive actions'
- ELSE concat('safety procedure SOP machine ', replace(event_type, '_', ' '), ' operator response corrective actions preventive actions') END AS procedure_query, count(*) AS n
+def searched(kind):
+    before, after, general = T.SEARCHES[kind]
+    return f"CASE WHEN event_type IS NULL THEN '{general}' ELSE concat('{before}', replace(event_type, '_', ' '), '{after}') END AS {kind}_query"
+
+
+@query("evidence_queries", f"""SELECT event_type, {searched('incident')}, {searched('procedure')}, count(*) AS n
 FROM (SELECT nullif(event_type, 'view') AS event_type FROM events) GROUP BY event_type""")
 def evidence_queries(spark, sf):
     events = view(spark, sf, "events").select(F.expr("nullif(event_type, 'view')").alias("event_type"))
