@@ -18,8 +18,8 @@ from millwarden.llm.common import in_bytes
 _PLAIN = "[!-~À-ÖØ-öø-ɏ]"
 CUT = re.compile(f" (?<={_PLAIN} )(?={_PLAIN})")
 
-#: Characters of a text handled at once, and distinct words of a generation.
-SEGMENT, HELD = 1 << 16, 150_000
+#: Characters of a text handled at once, and distinct words of a generation (about 60 MB).
+SEGMENT, HELD = 1 << 16, 400_000
 
 
 def segments(text: str, size: int = SEGMENT) -> Iterator[tuple[str, bool]]:
@@ -144,9 +144,15 @@ class WordTable:
         return [([] if w is None else [opened[w]]) + list(map(found, words)) for w, words in zip(openers, cut)]
 
 
+#: Tables of this Python worker: tasks that it runs later start with the words that earlier ones met.
+_TABLES: dict[str, WordTable] = {}
+
+
 def encoded(path: str, documents: Iterable[tuple], batch_bytes: int = 1 << 20) -> Iterator[tuple]:
     """(..., text) to (..., ids) of whole texts in the same order, a batch of about equal bytes at a time."""
-    table = WordTable(path)
+    if path not in _TABLES:
+        _TABLES[path] = WordTable(path)
+    table = _TABLES[path]
     waiting: list[tuple] = []
     parts = ((k, part, first) for k, d in enumerate(documents) for part, first in _noted(waiting, d))
     done, held = 0, []
