@@ -3,9 +3,10 @@
 Equal texts (after lower-casing A-Z, words alone) are one node from the start.  A node's signature has ``TREES * DEPTH``
 MinHash values; every tree orders the nodes by its own DEPTH of them.  Nodes that share a tree's first FLOOR values are a
 region.  In a region the nodes are sorted by the rest of their values, so that those next to one another have the longest
-common prefix: a small region is compared whole, in a crowded one the neighbours reach deeper prefixes.  Each node is also
-paired with one pivot of its region, at first the least, then the one with most links, which finds the source of a group
-whose copies differ more from one another than from it.  Candidates grow with nodes * trees, whatever the size of groups.
+common prefix: a region of up to REACH + 1 nodes is compared whole, in a crowded one each node meets the neighbour with the
+deepest common prefix.  Each node is also
+paired with one pivot of its region, at first the one whose orders and regions are fullest over all trees, then the one with most links:
+that finds the source of a group whose copies differ more from one another than from it.  Candidates grow with nodes * trees, whatever the size of groups.
 
 Pairs are confirmed on the full shingle sets.  Then, as long as a round links anything, regions that still hold two
 components or more are searched again, between components only.  A pair at the similarity bound misses all regions with
@@ -32,7 +33,7 @@ from millwarden.session import cut_lineage
 
 SHINGLE, SIMILAR = 5, 75
 TREES, DEPTH, FLOOR = 16, 8, 2
-#: Neighbours after a node in a tree's order, and the share of equal signature values under which a pair is dropped.
+#: Neighbours after a node in the order of a small region, and the share of equal signature values under which a pair is dropped.
 REACH, ALIKE = 3, 0.55
 SALTS = 16
 HELD = 300_000
@@ -105,21 +106,27 @@ def _body(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _shared_regions(nodes: DataFrame) -> DataFrame:
-    """(region, rest, node, n_shingles, pivot) for regions of two nodes and more."""
+    """(region, rest, node, n_shingles, members, pivot) for regions of two nodes and more."""
     def of_tree(t: int) -> tuple:
         start = 4 * DEPTH * t + 1
         return (F.xxhash64(F.lit(t), F.substring("signature", start, 4 * FLOOR)).alias("region"),
                 F.substring("signature", start + 4 * FLOOR, 4 * (DEPTH - FLOOR)).alias("rest"))
 
     placed = nodes.select("node", "n_shingles", F.explode(F.array(*(F.struct(*of_tree(t)) for t in range(TREES)))).alias("at")).select("node", "n_shingles", "at.*")
-    regions = placed.groupBy("region").agg(F.count("*").alias("members"), F.min("node").alias("pivot")).filter("members > 1")
-    return cut_lineage(_salted_join(placed, regions.select("region", "pivot"), "region"))
+    regions = placed.groupBy("region").agg(F.count("*").alias("members")).filter("members > 1")
+    shared = cut_lineage(_salted_join(placed, regions, ["region"]))
+    # The source of a group has the group's commonest values, so over all trees most nodes share its whole order and its regions.
+    orders = shared.groupBy("region", "rest").agg(F.count("*").alias("alike"))
+    scored = _salted_join(shared.select("region", "rest", "node", "members"), orders, ["region", "rest"])
+    scores = scored.groupBy("node").agg(F.struct(F.sum("alike").alias("alike"), F.sum("members").alias("members")).alias("score"))
+    best = shared.select("region", "node").join(scores, "node").groupBy("region").agg(F.max(F.struct("score", "node")).alias("top"))
+    return cut_lineage(_salted_join(shared, best.select("region", F.col("top.node").alias("pivot")), ["region"]))
 
 
-def _salted_join(rows: DataFrame, few: DataFrame, on: str) -> DataFrame:
+def _salted_join(rows: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
     """Join with a table of one row per key, whose rows are copied so that a hot key's rows go to many tasks."""
     few = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(few, [on, "salt"]).drop("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(few, [*on, "salt"]).drop("salt")
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +134,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     region, recent = None, OrderedDict()
     for batch in batches:
         pairs = []
-        for r, node, n, group in zip(*(batch.column(k).to_pylist() for k in range(4))):
+        for r, node, n, group, members in zip(*(batch.column(k).to_pylist() for k in range(5))):
             if r != region:
                 region, recent = r, OrderedDict()
             for other_group, (other, m) in recent.items():
@@ -135,16 +142,16 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pairs.append((node, other))
             recent.pop(group, None)
             recent[group] = (node, n)
-            if len(recent) > REACH:
+            while len(recent) > (REACH if members <= REACH + 1 else 1):
                 recent.popitem(last=False)
         a, b = zip(*pairs) if pairs else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
 def _candidates(shared: DataFrame) -> DataFrame:
-    """Distinct pairs a < b out of rows (region, rest, node, n_shingles, grp, pivot, pivot_grp)."""
-    ordered = shared.select("region", "node", "n_shingles", "grp", "rest").repartitionByRange("region", "rest", "node").sortWithinPartitions("region", "rest", "node")
-    beside = ordered.select("region", "node", "n_shingles", "grp").mapInArrow(_neighbours, "a binary, b binary")
+    """Distinct pairs a < b out of rows (region, members, rest, node, n_shingles, grp, pivot, pivot_grp)."""
+    ordered = shared.select("region", "node", "n_shingles", "grp", "members", "rest").repartitionByRange("region", "rest", "node").sortWithinPartitions("region", "rest", "node")
+    beside = ordered.select("region", "node", "n_shingles", "grp", "members").mapInArrow(_neighbours, "a binary, b binary")
     pivots = shared.filter("grp != pivot_grp").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     return beside.union(pivots).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct()
 
@@ -205,13 +212,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         # Regions with more than one component, between them only; the pivot is the node with most links.
         ends = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("degree"))
         known = grouped.join(ends, "node", "left")
-        rows = shared.select("region", "rest", "node", "n_shingles").join(known, "node", "left").select(
-            "region", "rest", "node", "n_shingles", F.coalesce("root", "node").alias("grp"), F.coalesce("degree", F.lit(0)).alias("degree"))
+        rows = shared.select("region", "members", "rest", "node", "n_shingles").join(known, "node", "left").select(
+            "region", "members", "rest", "node", "n_shingles", F.coalesce("root", "node").alias("grp"), F.coalesce("degree", F.lit(0)).alias("degree"))
         rows = cut_lineage(rows)
         active = rows.groupBy("region").agg(F.min("grp").alias("low"), F.max("grp").alias("high"),
                                             F.max(F.struct("degree", "node", "grp")).alias("top")).filter("low != high")
         active = active.select("region", F.col("top.node").alias("pivot"), F.col("top.grp").alias("pivot_grp"))
-        pairs = cut_lineage(_candidates(_salted_join(rows, active, "region")).join(tested, ["a", "b"], "left_anti"))
+        pairs = cut_lineage(_candidates(_salted_join(rows, active, ["region"])).join(tested, ["a", "b"], "left_anti"))
         new = _links(pairs, nodes, body)
         if not new.isEmpty():
             tested, links = tested.union(pairs), links.union(new)
