@@ -2,8 +2,8 @@
 
 Features are 32-bit hashes of lower-cased words, of neighbouring words and of words one apart; a document has a feature or
 not.  Training sees a bounded sample of labelled rows: at most about SAMPLE of each class, chosen by hash of the key.  The
-sample is dealt to shards of about SHARD rows; in every round each shard runs FTRL-proximal over its rows from the common
-state, and the states are averaged per coordinate (parameter mixing).  Rates are per coordinate and the L1 term leaves few
+sample is dealt to shards of about SHARD rows; in every round each shard runs FTRL-proximal a few times over its rows from
+the common state, and the states are averaged per coordinate (parameter mixing).  Rates are per coordinate and the L1 term leaves few
 weights other than zero, so the model is small: it is broadcast and looked up by binary search behind a bitmap.
 
 Defined results: an empty or null text has no features and gets the score of the bias alone; labels that are null, and
@@ -26,8 +26,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from millwarden.llm.common import fresh_name
 from millwarden.session import cut_lineage
 
-#: Labelled rows of each class that training sees at most (about: a hash decides), rows of a shard, rounds.
-SAMPLE, SHARD, ROUNDS = 12_000, 3_000, 5
+#: Labelled rows of each class that training sees at most (about: a hash decides), rows of a shard, rounds, passes of a shard in a round.
+SAMPLE, SHARD, ROUNDS, PASSES = 12_000, 3_000, 2, 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.01
 #: A feature is learned from that many documents of a shard on.
 SEEN = 2
@@ -82,16 +82,18 @@ def weights(z: np.ndarray, n: np.ndarray, l1: float = L1) -> np.ndarray:
     return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
-def train(rows: list[tuple[np.ndarray, int]], start: State) -> State:
-    """One pass of FTRL-proximal over (distinct features, label) rows."""
+def train(rows: list[tuple[np.ndarray, int]], start: State, passes: int = 1) -> State:
+    """Passes of FTRL-proximal over (distinct features, label) rows."""
     every, seen = np.unique(np.concatenate([f for f, _ in rows]), return_counts=True) if rows else (np.zeros(0, np.uint32), np.zeros(0))
     index = every[seen >= SEEN]
     z, n = start.looked_up(index)
     bias = np.array(start.bias)
+    places = []
     for found, label in rows:
         at = np.searchsorted(index, found)
-        at = at[(at < len(index))]
-        at = at[np.isin(index[at], found, assume_unique=True)] if len(at) else at
+        at, found = at[at < len(index)], found[at < len(index)]
+        places.append((at[index[at] == found], label))
+    for at, label in (row for _ in range(passes) for row in places):
         zi, ni = z[at], n[at]
         w = weights(zi, ni)
         b = -bias[0] / ((BETA + np.sqrt(bias[1])) / ALPHA)
@@ -133,7 +135,8 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, rounds: int = ROUNDS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE,
+        rounds: int = ROUNDS, passes: int = PASSES) -> Model:
     spark = docs.sparkSession
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("key").isNotNull() & ~held_out(F.col("key")))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
@@ -159,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         def one_pass(table: pa.Table) -> pa.Table:
             own = table.sort_by("place")
             data = [(np.frombuffer(f.as_buffer(), dtype=np.uint32), y.as_py()) for f, y in zip(own.column("features"), own.column("label"))]
-            new = train(data, common.value)
+            new = train(data, common.value, passes)
             strong = np.abs(new.z) > L1 / 4  # the rest is as good as unseen
             index = np.append(new.index[strong].astype(np.int64), -1)
             return pa.table({"feature": index, "z": np.append(new.z[strong], new.bias[0]), "n": np.append(new.n[strong], new.bias[1])})
