@@ -57,7 +57,7 @@ def canonical_lines(text: Column) -> Column:
     out = F.regexp_replace(F.regexp_replace(out, COPYRIGHT, "$1"), SIGNS, " ")
     for old, new in SPELLINGS:
         out = F.regexp_replace(out, rf"\b{old}\b", new)
-    return F.filter(F.transform(F.split(out, "\n"), F.trim), lambda line: line != "")
+    return F.filter(F.transform(F.split(out, "\n"), lambda line: F.trim(line)), lambda line: line != "")
 
 
 def known_licences(spark: SparkSession) -> DataFrame:
