@@ -6,11 +6,14 @@ region.  In a region the nodes are sorted by the rest of their values, so that t
 common prefix: a region of up to REACH + 1 nodes is compared whole, in a crowded one each node meets the neighbour with the
 deepest common prefix.  Each node is also
 paired with one pivot of its region, at first the one whose orders and regions are fullest over all trees, then the one with most links:
-that finds the source of a group whose copies differ more from one another than from it.  Candidates grow with nodes * trees, whatever the size of groups.
+that finds the source of a group whose copies differ more from one another than from it.
 
 Pairs are confirmed on the full shingle sets.  Then, as long as a round links anything, regions that still hold two
-components or more are searched again, between components only.  A pair at the similarity bound misses all regions with
-probability (1 - .75^2)^16 = 2e-6, and the signature test before the exact one drops it with 1e-7.
+components or more are searched again, between components only.  These rounds only save work: at the end every pair of a crowded
+region that is still in different components is compared on signatures, block by block, and confirmed where it may be similar.
+So the recall is that of the regions, in crowded ones as in small ones: a pair at the similarity bound misses all regions with
+probability (1 - .75^2)^16 = 2e-6, and the signature test before the exact one drops it with 1e-7.  The last step costs the square
+of the nodes of a region that many components share (texts with common boilerplate), and nothing where a region is one component.
 
 Defined results: a text without words (or null) is linked with nothing; repeated rows are copies of one another; rows that
 share a key but not the text are nodes of their own, in the component of either's links; null keys get a null component unless
@@ -36,6 +39,8 @@ TREES, DEPTH, FLOOR = 16, 8, 2
 #: Neighbours after a node in the order of a small region, and the share of equal signature values under which a pair is dropped.
 REACH, ALIKE = 3, 0.55
 SALTS = 16
+#: Nodes of a crowded region that are compared with one another, or with those of another block, in one task.
+BLOCK = 2048
 HELD = 300_000
 
 _random = np.random.default_rng(20240229)
@@ -106,10 +111,10 @@ def _body(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _shared_regions(nodes: DataFrame) -> DataFrame:
-    """(region, rest, node, n_shingles, members, pivot) for regions of two nodes and more."""
+    """(tree, region, rest, node, n_shingles, members, pivot) for regions of two nodes and more."""
     def of_tree(t: int) -> tuple:
         start = 4 * DEPTH * t + 1
-        return (F.xxhash64(F.lit(t), F.substring("signature", start, 4 * FLOOR)).alias("region"),
+        return (F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.substring("signature", start, 4 * FLOOR)).alias("region"),
                 F.substring("signature", start + 4 * FLOOR, 4 * (DEPTH - FLOOR)).alias("rest"))
 
     placed = nodes.select("node", "n_shingles", F.explode(F.array(*(F.struct(*of_tree(t)) for t in range(TREES)))).alias("at")).select("node", "n_shingles", "at.*")
@@ -150,12 +155,82 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _candidates(shared: DataFrame) -> DataFrame:
     """Distinct pairs a < b out of rows (region, members, rest, node, n_shingles, grp, pivot, pivot_grp)."""
-    ordered = shared.select("region", "node", "n_shingles", "grp", "members", "rest").repartitionByRange("region", "rest", "node").sortWithinPartitions("region", "rest", "node")
+    def whole(column: str):
+        # Rows of a small region have equal range keys, so no border of partitions cuts it.
+        return F.when(F.col("members") > REACH + 1, F.col(column))
+
+    ordered = shared.select("region", "node", "n_shingles", "grp", "members", "rest").repartitionByRange("region", whole("rest"), whole("node")).sortWithinPartitions("region", "rest", "node")
     beside = ordered.select("region", "node", "n_shingles", "grp", "members").mapInArrow(_neighbours, "a binary, b binary")
     pivots = shared.filter("grp != pivot_grp").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     return beside.union(pivots).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct()
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted rows to one table for each value of the first three columns."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(k).to_numpy() for k in range(3)])
+        cuts = (np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()
+        for at, to in zip([0, *cuts], [*cuts, batch.num_rows]):
+            if held and tuple(keys[:, at]) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = tuple(keys[:, at])
+            held.append(batch.slice(at, to - at))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by region and pair of blocks to all pairs of different groups that may be similar, in the first tree that has them in one region."""
+    for run in _runs(batches):
+        first, second, tree = (run.column(c)[0].as_py() for c in ("first", "second", "tree"))
+        block, n = (run.column(c).to_numpy() for c in ("block", "n_shingles"))
+        group = run.column("grp").combine_chunks().dictionary_encode().indices.to_numpy()
+        if not (group != group[0]).any():
+            continue
+        node = run.column("node").to_pylist()
+        signatures = np.frombuffer(b"".join(run.column("signature").to_pylist()), dtype="<u4").reshape(len(n), -1)
+        left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
+        values = np.ascontiguousarray(signatures.T)
+        for at in range(0, len(left), 256):
+            some = left[at : at + 256]
+            may = (group[some, None] != group[right]) & (100 * np.minimum(n[some, None], n[right]) >= SIMILAR * np.maximum(n[some, None], n[right]))
+            if first == second:
+                may &= some[:, None] < right
+            if not may.any():
+                continue
+            same = np.zeros(may.shape, dtype=np.uint8)
+            for of in values:
+                same += of[some, None] == of[right]
+            x, y = np.nonzero(may & (same >= ALIKE * len(values)))
+            x, y = some[x], right[y]
+            floors = (signatures[x].reshape(-1, TREES, DEPTH)[:, :, :FLOOR] == signatures[y].reshape(-1, TREES, DEPTH)[:, :, :FLOOR]).all(axis=2)
+            own = floors[:, tree] & (floors.argmax(axis=1) == tree)
+            if own.any():
+                pairs = [(min(node[k], node[m]), max(node[k], node[m])) for k, m in zip(x[own].tolist(), y[own].tolist())]
+                a, b = zip(*pairs)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+
+def _crowded_pairs(shared: DataFrame, nodes: DataFrame, grouped: DataFrame) -> DataFrame:
+    """All pairs a < b of a crowded region that are in different components and may be similar.
+
+    A region's nodes are dealt to blocks of about BLOCK; each pair of blocks is compared in one task, on signatures.
+    """
+    rows = shared.filter(F.col("members") > REACH + 1).select("tree", "region", "members", "node", "n_shingles").join(grouped, "node", "left")
+    rows = cut_lineage(rows.select("tree", "region", "members", "node", "n_shingles", F.coalesce("root", "node").alias("grp")))
+    active = rows.groupBy("region").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low != high").select("region")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    rows = _salted_join(rows, active, ["region"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int"))
+    dealt = rows.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.select("region", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "tree", "block", "node", "n_shingles", "grp")
+    dealt = dealt.join(nodes.select("node", "signature"), "node").select("region", "first", "second", "tree", "block", "node", "n_shingles", "grp", "signature")
+    return dealt.repartition("region", "first", "second").sortWithinPartitions("region", "first", "second").mapInArrow(_apart, "a binary, b binary")
+
+
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
@@ -223,6 +298,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         if not new.isEmpty():
             tested, links = tested.union(pairs), links.union(new)
             grouped = components(links)
+    # What is in different components of a crowded region by now is compared whole.
+    new = _links(cut_lineage(_crowded_pairs(shared, nodes, grouped).join(tested, ["a", "b"], "left_anti")), nodes, body)
+    if not new.isEmpty():
+        grouped = components(links.union(new))
     least = grouped.join(nodes.select("node", "id"), "node").groupBy("root").agg(F.min("id").alias("component"))
     named = nodes.select("node", "id").join(grouped, "node", "left").join(least, "root", "left").select("node", F.coalesce("component", "id").alias("component"))
     done = signed.select("key", "node", "n_shingles").join(named, "node", "left")

@@ -251,6 +251,22 @@ def test_star_of_copies_is_one_component(spark):
     assert got == {v for _, v in brute_components(rows).values()}
 
 
+def test_links_between_texts_of_common_boilerplate(spark):
+    """Texts that differ from a common one, which is absent; two that differ in the same places are just over the bound, others far under it."""
+    rng, rows = random.Random(12), []
+    for pair in range(70):
+        places = rng.sample(range(6, 390, 6), 11)
+        for own in "ab":
+            words = [f"shared{k}" for k in range(400)]
+            for p in places:
+                words[p] = f"new{pair}{own}{p}"
+            rows.append((len(rows), " ".join(words)))
+    want = brute_components(rows)
+    assert len({v for _, v in want.values()}) == 70
+    got = neardup.near_duplicates(frame(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_near_duplicate_edges(spark, edge, edge_rows):
     got = neardup.near_duplicates(edge).collect()
     assert len(got) == len(edge_rows)
