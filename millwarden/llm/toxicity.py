@@ -1,7 +1,8 @@
 """Toxicity: FTRL-proximal logistic regression over hashed words, word pairs and skip-pairs.
 
 Features are 32-bit hashes of lower-cased words, of neighbouring words and of words one apart; a document has a feature or
-not.  Training sees a bounded sample of labelled rows: at most about SAMPLE of each class, chosen by hash of the key.  The
+not.  Training sees a bounded sample of labelled rows: at most about SAMPLE of each class, chosen by hash of the key;
+the log of the ratio of the two rates is taken off the bias, so that scores stand for the labels at their own ratio.  The
 sample is dealt to shards of about SHARD rows; in every round each shard runs FTRL-proximal a few times over its rows from
 the common state, and the states are averaged per coordinate (parameter mixing).  Rates are per coordinate and the L1 term leaves few
 weights other than zero, so the model is small: it is broadcast and looked up by binary search behind a bitmap.
@@ -142,7 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     # A hash of the key keeps about ``sample`` rows of a class: its size is bounded, so it may be broadcast.
     place = F.pmod(F.xxhash64("key"), F.lit(1 << 20)) / float(1 << 20)
-    share = F.when(F.col("label") == 1, sample / max(1, counts.get(1, 0))).otherwise(sample / max(1, counts.get(0, 0)))
+    rates = {y: min(1.0, sample / max(1, counts.get(y, 0))) for y in (0, 1)}
+    share = F.when(F.col("label") == 1, rates[1]).otherwise(rates[0])
     chosen = known.filter(place < share).groupBy("key").agg(F.max("label").alias("label"))
     shards = max(1, -(-sum(min(sample, n) for n in counts.values()) // SHARD))
 
@@ -173,7 +175,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         own = index >= 0
         state = State(index[own].astype(np.uint32), z[own], n[own], (float(z[~own][0]), float(n[~own][0])) if (~own).any() else (0.0, 0.0))
     w = weights(state.z, state.n)
-    bias = -state.bias[0] / ((BETA + np.sqrt(state.bias[1])) / ALPHA)
+    # The sample has rates[1] / rates[0] times the odds of the labels.
+    bias = -state.bias[0] / ((BETA + np.sqrt(state.bias[1])) / ALPHA) - np.log(rates[1] / rates[0])
     return Model(state.index[w != 0], w[w != 0], float(bias) if counts else float(np.log(1 / 3)))
 
 

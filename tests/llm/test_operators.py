@@ -205,6 +205,20 @@ def test_toxicity_held_out_and_edges(spark, edge):
     assert toxicity.score(edge.limit(0), none).count() == 0
 
 
+def test_toxicity_verdicts_hold_under_a_small_sample(spark):
+    """A word of all toxic texts and of two fifths of the clean ones, nine times as many: more likely clean."""
+    rng, common = random.Random(3), [f"plain{k}" for k in range(30)]
+    rows = [(k, " ".join(rng.sample(common, 8) + ["edgy"] * (k % 10 == 0 or rng.random() < 0.4)), int(k % 10 == 0)) for k in range(3000)]
+    docs = frame(spark, [r[:2] for r in rows])
+    labels = frame(spark, [(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    texts = frame(spark, [(k, " ".join(rng.sample(common, 8) + ["edgy"])) for k in range(200)])
+    flagged = {}
+    for sample in (toxicity.SAMPLE, 150):
+        scores = [r.toxicity for r in toxicity.score(texts, toxicity.fit(docs, labels, sample=sample)).collect()]
+        flagged[sample] = sum(s >= 0.5 for s in scores)
+    assert max(flagged.values()) < 100, flagged
+
+
 def brute_components(rows):
     sets = []
     for key, text in rows:
