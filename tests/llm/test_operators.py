@@ -393,6 +393,26 @@ def test_licences(spark, edge):
     assert licences.scan_licences(frame(spark, rows), licences.known_licences(spark).limit(0)).count() == 0
 
 
+def test_licence_notices_written_apart(spark):
+    rows = [(1, "Some prose.\nLicensed under CC BY-NC 4.0.\nMore."), (2, "Licensed under CC-BY-SA-3.0"), (3, "This work is licensed under the CC BY v4.0 licence."),
+            (4, "Licensed under a Creative Commons Attribution-NoDerivatives 4.0 International Licence"), (5, "Licensed under CC BY-NC 9.0."),
+            (6, """Copyright 2021 Someone
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    https://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""")]
+    got = {(r.doc_id, r.licence, r.scope) for r in licences.scan_licences(frame(spark, rows), licences.known_licences(spark)).collect()}
+    assert got == {(1, "CC-BY-NC-4.0", "line"), *((k, name, scope) for k, name in ((2, "CC-BY-SA-3.0"), (3, "CC-BY-4.0"), (4, "CC-BY-ND-4.0")) for scope in ("text", "line")),
+                   (6, "Apache-2.0", "text"), (6, "Apache-2.0", "line")}
+
+
 ITEM = "if the train leaves the town of Aston at 40 km per hour and the bus leaves Aston at 25 km per hour how far apart are they after 3 hours"
 
 
