@@ -22,7 +22,7 @@ from millwarden.plans.metric_queries import labelled
 from millwarden.plans.views import view, with_views
 from millwarden.session import cut_lineage, scratch_path
 
-# Boosting rounds are cut for the queries only, as each is a pass over the data; all else has the published sizes.
+# Boosting rounds are cut for the queries only, as each is a pass over the data; README lists this and the other cuts.
 QUERY_MODELS = {"rounds": 10, "boosted_rounds": 10}
 
 
