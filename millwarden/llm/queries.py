@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millwarden.llm import bitplanes, licences, neardup, packing, quality, sharding, templates, tokencount, toxicity, warc
+from millwarden.llm import bitplanes, fingerprints, licences, neardup, packing, quality, sharding, templates, tokencount, toxicity, warc
 from millwarden.session import cut_lineage, scratch_path
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -99,3 +99,8 @@ def licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_decontamination", templates.oracle())
 def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.leaking_rows(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query("op11_fingerprints", fingerprints.oracle())
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(documents(spark, sf_dir))

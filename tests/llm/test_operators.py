@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millwarden.llm import bitplanes, components, licences, neardup, packing, quality, sharding, templates, tokencount, toxicity, warc
+from millwarden.llm import bitplanes, components, fingerprints, licences, neardup, packing, quality, sharding, templates, tokencount, toxicity, warc
 from millwarden.llm.encoding import CUT, encoded, segments
 from millwarden.llm.queries import vocabulary
 
@@ -428,3 +428,56 @@ def test_templates(spark, edge):
     assert {r.doc_id for r in templates.decontaminate(docs.withColumn("text_hash", F.lit(1)), bench).collect()} == {12, 13, 15, 17}
     assert templates.decontaminate(edge, bench).columns == edge.columns and templates.decontaminate(edge, bench).count() == edge.count()
     assert templates.decontaminate(edge.limit(0), bench).count() == 0 and templates.decontaminate(docs, bench.limit(0)).count() == len(rows)
+
+
+def brute_leaves(text):
+    import re
+
+    return re.findall(r"[^.!?\n]{1,48}(?:[.!?]+ *)?\n*|[.!?]+ *\n*|\n+", text)
+
+
+def brute_following(rows):
+    """Rows in descending order of key, nulls last, each with the text after it (rows of one key must share their text)."""
+    rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
+    return [(k, t or "", rows[(n + 1) % len(rows)][1] or "") for n, (k, t) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("rows_of_bucket", [3, 50, 5000])
+def test_fingerprints_against_brute_force(spark, rows_of_bucket):
+    rng = random.Random(11)
+    rows = [(rng.randrange(-10**6, 10**6) * 7, "".join(rng.choice(["Aé b. ", "\n", "\n\n", "c d e! ", "x" * 60, "ß漢", "."]) for _ in range(rng.randrange(30)))) for _ in range(300)]
+    rows += [(5, "same text."), *[(6, "hot key\n\nof one text. ")] * 40, (None, None), *[(None, "")] * 20]
+    got = sorted(fingerprints.fingerprint(frame(spark, rows).repartition(7), rows=rows_of_bucket).collect(), key=str)
+    want = []
+    for k, text, after in brute_following(rows):
+        n = len(text)
+        edited = text[: n - n // 3] + after[: n // 3]
+        weighed = [{x: len(x) for x in brute_leaves(t)} for t in (text, edited, after)]
+        near = [1.0 if other == text else max(0.0, 1 - max(1, sum(n for x, n in {**a, **b}.items() if (x in a) != (x in b))) / max(1, sum(a.values()) + sum(b.values())))
+                for a, b, other in ((weighed[0], weighed[1], edited), (weighed[0], weighed[2], after))]
+        want.append((k, n, hashlib.sha256(edited.encode()).hexdigest(), *near))
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in got), key=str) == sorted(want, key=str)
+    texts = {}
+    for k, text, after in brute_following(rows):
+        texts.setdefault((k, len(text)), text)
+    roots = {}
+    for r in got:
+        roots.setdefault(texts[r.doc_id, r.n_chars], set()).add(r.fingerprint)
+    assert all(len(x) == 1 for x in roots.values()) and len(set().union(*roots.values())) == len(roots)
+
+
+def test_fingerprint_edges(spark, edge, edge_rows):
+    got = fingerprints.fingerprint(edge, rows=2).collect()
+    assert sorted(((r.doc_id, r.n_chars) for r in got), key=str) == sorted(((k, len(t or "")) for k, t in edge_rows), key=str)
+    assert fingerprints.fingerprint(edge.limit(0)).count() == 0
+    alone = fingerprints.fingerprint(frame(spark, [(1, "One. Two.\nThree.")])).first()
+    assert alone.near_next == 1.0 and alone.near_edited < 1
+
+
+def test_edits_are_located(spark):
+    old = "".join(f"Sentence {k} of it. And more {k}.\n" for k in range(200))
+    new = old.replace("Sentence 77 of it. ", "Sentence 77 is new. ").replace("And more 150.\n", "")
+    rows = [(1, old), (2, "unchanged"), (3, None), (None, "x")], [(1, new), (2, "unchanged"), (4, "Added.")]
+    got = sorted((r.doc_id, r.side, r.start, r.n_chars) for r in fingerprints.locate_edits(*(frame(spark, r) for r in rows)).collect())
+    at, ends = old.index("Sentence 77"), old.index("And more 150.")
+    assert got == [(1, "new", at, 20), (1, "old", at, 19), (1, "old", ends, 14), (4, "new", 0, 6)]
