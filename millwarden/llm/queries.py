@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millwarden.llm import bitplanes, fingerprints, licences, neardup, packing, quality, sharding, templates, tokencount, toxicity, warc
+from millwarden.llm import alignment, bitplanes, conversations, fingerprints, licences, neardup, packing, quality, sharding, templates, tokencount, toxicity, warc
 from millwarden.session import cut_lineage, scratch_path
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -104,3 +104,14 @@ def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_fingerprints", fingerprints.oracle())
 def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(documents(spark, sf_dir))
+
+
+@query("op12_conversations")
+def repaired_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversations.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversations.repair(damaged, present="present")
+
+
+@query("op13_alignment")
+def aligned_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
