@@ -17,11 +17,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from millwarden.llm.common import in_bytes
 from millwarden.llm.encoding import segments
@@ -82,9 +84,9 @@ class Spelled:
 
     def ids(self, lanes: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the lanes end to end, and the number of each lane."""
-        found = self.call([self.space + x for x in lanes])
+        found = self.call([self.space + x for x in lanes] if self.space else lanes)
         counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        return np.fromiter((k for x in found for k in x), dtype=np.int64, count=int(counts.sum())), counts
+        return np.fromiter(chain.from_iterable(found), dtype=np.int64, count=int(counts.sum())), counts
 
     def spelled(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of the tokens, end to end."""
@@ -225,8 +227,6 @@ def aligned(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, key: str = "doc
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     body = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    from pyspark.sql.pandas.types import to_arrow_type
-
     field = body.schema["key"].dataType
     kind, fields = to_arrow_type(field), _FIELDS.format(field.simpleString())
     names = [f.split()[0] for f in fields.split(", ")]
