@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    GBTClassifier,
     LinearSVC,
     LogisticRegression,
     NaiveBayes,
@@ -17,12 +17,13 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, BucketedRandomProjectionLSH, VectorAssembler
+from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millwarden.operators.boosting import BoostedModel, Boosting, fit_boosted
 from millwarden.operators.preparing import Preparation, fit_preparation
 from millwarden.session import cut_lineage
 from millwarden.operators.splitting import group_split, stratified_folds, stratified_split
@@ -30,7 +31,7 @@ from millwarden.operators.splitting import group_split, stratified_folds, strati
 SEED = 42
 
 
-def classifiers(trees: int = 300, rounds: int = 200, boosted_rounds: int = 300) -> dict[str, Callable[[], Estimator]]:
+def classifiers(trees: int = 300, rounds: int = 200, boosted_rounds: int = 300) -> dict[str, Callable[[], Estimator | Boosting]]:
     """The one configuration of each model, shared by training, cross-validation and out-of-fold scoring."""
     at = {"featuresCol": "features", "labelCol": "label"}
     return {
@@ -38,10 +39,8 @@ def classifiers(trees: int = 300, rounds: int = 200, boosted_rounds: int = 300)
         "decision_tree": lambda: DecisionTreeClassifier(**at, weightCol="weight", maxDepth=8, seed=SEED),
         "random_forest": lambda: RandomForestClassifier(**at, weightCol="weight", numTrees=trees, maxDepth=12, seed=SEED),
         "naive_bayes": lambda: NaiveBayes(**at, modelType="gaussian"),
-        "gradient_boosting": lambda: GBTClassifier(**at, maxIter=rounds, maxDepth=3, stepSize=0.05, seed=SEED),
-        "boosted_trees_weighted": lambda: GBTClassifier(
-            **at, weightCol="positive_weight", maxIter=boosted_rounds, maxDepth=5, stepSize=0.05, subsamplingRate=0.8,
-            featureSubsetStrategy="0.8", seed=SEED),
+        "gradient_boosting": lambda: Boosting(rounds, 3, newton=False, ridge=0.0, least_curvature=0.0, seed=SEED),
+        "boosted_trees_weighted": lambda: Boosting(boosted_rounds, 5, row_share=0.8, column_share=0.8, balanced=True, seed=SEED),
     }
 
 
@@ -65,26 +64,32 @@ def probability() -> Column:
     return vector_to_array("probability")[1]
 
 
-def score(model: Model, df: DataFrame, keep: Sequence[str], name: str) -> DataFrame:
+def score(model: Model | BoostedModel, df: DataFrame, keep: Sequence[str], name: str) -> DataFrame:
+    if isinstance(model, BoostedModel):
+        return model.score(df, [*keep, "label"]).select(*keep, "label", F.lit(name).alias("model"), "p")
     return model.transform(df).select(*keep, "label", F.lit(name).alias("model"), probability().alias("p"))
 
 
-def train_and_score(df: DataFrame, key: str, label: str, models: dict[str, Callable[[], Estimator]]) -> DataFrame:
+def fit_all(tables: Sequence[DataFrame], models: dict[str, Callable[[], Estimator | Boosting]], key: str) -> list[dict[str, Model | BoostedModel]]:
+    """Every model on every table; the boosted ones of all tables grow in the same passes."""
+    made = {name: make() for name, make in models.items()}
+    specs = {name: m for name, m in made.items() if isinstance(m, Boosting)}
+    boosted = fit_boosted(tables, list(specs.values()), key=key) if specs else [[]] * len(tables)
+    return [{name: dict(zip(specs, own))[name] if name in specs else m.fit(table) for name, m in made.items()} for table, own in zip(tables, boosted)]
+
+
+def train_and_score(df: DataFrame, key: str, label: str, models: dict[str, Callable[[], Estimator | Boosting]]) -> DataFrame:
     """Split, prepare on the train part, fit every model, score the held-out part."""
     split = cut_lineage(stratified_split(df, label, key))
     train, test = split.filter("part = 'train'"), split.filter("part = 'test'")
     preparation = fit_preparation(train)
-    ready = with_weights(model_input(train, preparation, label, [key])).persist()
+    ready = cut_lineage(with_weights(model_input(train, preparation, label, [key])))
     held = model_input(test, preparation, label, [key])
-    scored = None
-    for name, make in models.items():
-        part = score(make().fit(ready), held, [key], name)
-        scored = part if scored is None else scored.unionByName(part)
-    ready.unpersist()
-    return scored
+    (fitted,) = fit_all([ready], models, key)
+    return reduce(DataFrame.unionByName, [score(model, held, [key], name) for name, model in fitted.items()])
 
 
-def out_of_fold(df: DataFrame, key: str, label: str, models: dict[str, Callable[[], Estimator]], folds: int = 5, prefit: bool = False) -> DataFrame:
+def out_of_fold(df: DataFrame, key: str, label: str, models: dict[str, Callable[[], Estimator | Boosting]], folds: int = 5, prefit: bool = False) -> DataFrame:
     """Every row scored once per model, by the fit that did not see its fold.
 
     Preparation is refitted on each fold's own train rows; ``prefit`` learns it
@@ -93,16 +98,14 @@ def out_of_fold(df: DataFrame, key: str, label: str, models: dict[str, Callable[
     # Written once: every fold of every model reads it.
     folded = cut_lineage(stratified_folds(df, label, key, folds))
     shared = fit_preparation(df) if prefit else None
-    scored = None
+    tables, held = [], []
     for fold in range(folds):
-        train, held = folded.filter(F.col("fold") != fold), folded.filter(F.col("fold") == fold)
+        train = folded.filter(F.col("fold") != fold)
         preparation = shared or fit_preparation(train)
-        ready = with_weights(model_input(train, preparation, label, [key])).persist()
-        for name, make in models.items():
-            part = score(make().fit(ready), model_input(held, preparation, label, [key, "fold"]), [key, "fold"], name)
-            scored = part if scored is None else scored.unionByName(part)
-        ready.unpersist()
-    return scored
+        tables.append(cut_lineage(with_weights(model_input(train, preparation, label, [key]))))
+        held.append(model_input(folded.filter(F.col("fold") == fold), preparation, label, [key, "fold"]))
+    fitted = fit_all(tables, models, key)
+    return reduce(DataFrame.unionByName, [score(model, rows, [key, "fold"], name) for rows, of_fold in zip(held, fitted) for name, model in of_fold.items()])
 
 
 def fourier_features(column: str, width: int, outputs: int = 128, gamma: float | None = None, seed: int = SEED) -> Column:
@@ -143,9 +146,9 @@ def margin_classifier(train: DataFrame, held: DataFrame, key: str, width: int, o
     return score(curve, to_vector.transform(raw), [key], "margin_classifier")
 
 
-def rul_models(trees: int = 100, rounds: int = 50) -> dict[str, Callable[[], Estimator]]:
+def rul_models(trees: int = 100, rounds: int = 50) -> dict[str, Callable[[], Estimator | Boosting]]:
     at = {"featuresCol": "features", "labelCol": "rul"}
-    return {"boosted_trees": lambda: GBTRegressor(**at, maxIter=rounds, maxDepth=5, seed=SEED),
+    return {"boosted_trees": lambda: Boosting(rounds, 5, rate=0.1, loss="squared", newton=False, ridge=0.0, least_curvature=0.0, seed=SEED),
             "random_forest": lambda: RandomForestRegressor(**at, numTrees=trees, maxDepth=8, seed=SEED),
             "linear": lambda: LinearRegression(**at)}
 
@@ -153,12 +156,17 @@ def rul_models(trees: int = 100, rounds: int = 50) -> dict[str, Callable[[], Est
 def rul_regression(windows: DataFrame, features: Sequence[str], models: dict[str, Callable[[], Estimator]], unit: str = "unit_id", cycle: str = "end_cycle") -> DataFrame:
     """Fit on window features of the train units, predict the held-out units."""
     ready = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(group_split(windows, unit))
-    train, held = ready.filter("part = 'train'").persist(), ready.filter("part = 'validation'")
+    ready = cut_lineage(ready.select(unit, cycle, "rul", "part", "features"))
+    train, held = ready.filter("part = 'train'"), ready.filter("part = 'validation'")
     out = None
     for name, make in models.items():
-        part = make().fit(train).transform(held).select(unit, cycle, "rul", F.lit(name).alias("model"), F.col("prediction").alias("predicted"))
+        made = make()
+        if isinstance(made, Boosting):
+            done = fit_boosted([train], [made], label="rul")[0][0].score(held, [unit, cycle, "rul"], name="predicted")
+        else:
+            done = made.fit(train).transform(held).select(unit, cycle, "rul", F.col("prediction").alias("predicted"))
+        part = done.select(unit, cycle, "rul", F.lit(name).alias("model"), "predicted")
         out = part if out is None else out.unionByName(part)
-    train.unpersist()
     return out
 
 
@@ -213,18 +221,3 @@ def kmeans_select(vectors: DataFrame, ks: Sequence[int] = range(2, 7), restarts:
 def hierarchical_clusters(vectors: DataFrame, k: int = 3, features: str = "features") -> DataFrame:
     """Divisive clustering into ``k`` groups."""
     return BisectingKMeans(k=k, seed=SEED, featuresCol=features, predictionCol="cluster").fit(vectors).transform(vectors)
-
-
-def retrieve_approx(corpus: DataFrame, queries: DataFrame, k: int, chunk: str = "vec_id", vector: str = "embedding", query_vector: str = "vector",
-                    tables: int = 8, bucket: float = 1.0, reach: float = 1.5) -> DataFrame:
-    """Approximate top-k: candidates that share a random-projection bucket, re-ranked by exact distance."""
-    def as_vector(df: DataFrame, key: str, column: str) -> DataFrame:
-        return df.select(key, array_to_vector(F.col(column).cast("array<double>")).alias("v"))
-
-    hashed = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", numHashTables=tables, bucketLength=bucket, seed=SEED)
-    items, asked = as_vector(corpus, chunk, vector), as_vector(queries, "query_id", query_vector)
-    pairs = hashed.fit(items).approxSimilarityJoin(asked, items, reach, distCol="d")
-    from millwarden.operators.evidence import ranked
-
-    hits = pairs.select(F.col("datasetA.query_id").alias("query_id"), F.col(f"datasetB.{chunk}").alias(chunk), (F.col("d") * F.col("d")).alias("distance"))
-    return ranked(hits, chunk).filter(F.col("rank") <= k)

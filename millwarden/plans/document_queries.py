@@ -8,8 +8,11 @@ from millwarden.functions import text as T
 from millwarden.operators import documents as D
 from millwarden.operators import evidence as V
 from millwarden.operators import profiling as P
+from millwarden.operators import text_encoder as TE
+from millwarden.operators import vector_index as VI
 from millwarden.plans.catalog import query
 from millwarden.plans.views import view, with_views
+from millwarden.session import cut_lineage, scratch_path
 
 
 def sql_text(value: str) -> str:
@@ -100,13 +103,60 @@ def parse_incidents(spark, sf):
                          F.array_join("contributing_factors", "|").alias("contributing_factors"), F.array_join("corrective_actions", "|").alias("corrective_actions"))
 
 
-@query("text_vectors")
+WEIGHTS = with_views("corpus") + """,
+words AS (SELECT doc_id, unnest([w FOR w IN regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+') IF w <> '']) AS word FROM corpus),
+tf AS (SELECT doc_id, CAST(CAST('0x' || substr(md5(word), 1, 8) AS UBIGINT) % 16384 AS INT) AS feature, count(*) AS n FROM words GROUP BY ALL),
+idf AS (SELECT feature, ln((1.0::DOUBLE + (SELECT count(*) FROM corpus)) / (1.0::DOUBLE + count(*))) + 1.0::DOUBLE AS w FROM tf GROUP BY feature),
+weighed AS (SELECT doc_id, feature, n * w AS x FROM tf JOIN idf USING (feature)),
+weights AS (SELECT doc_id, feature, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS weight FROM weighed)
+"""
+
+
+@query("text_weights", WEIGHTS + "SELECT doc_id, feature, round(weight, 6) AS weight FROM weights")
+def text_weights(spark, sf):
+    """What the saved document-frequency table makes of every text."""
+    docs = view(spark, sf, "corpus").select("doc_id", "text")
+    counts, total = TE.document_frequencies(docs.select(TE.word_features("text").alias("ids")), TE.FEATURES)
+    return TE.text_weights(docs, TE.inverse_frequency(counts, total), "doc_id").withColumn("weight", F.round("weight", 6))
+
+
+@query("text_vectors", WEIGHTS + "SELECT doc_id, CAST(384 AS INT) AS size, CASE WHEN doc_id IN (SELECT doc_id FROM weights) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM corpus")
 def text_vectors(spark, sf):
-    vectors = D.text_vectors(view(spark, sf, "corpus").select("doc_id", "text"))
+    vectors = saved_encoder(spark, view(spark, sf, "corpus")).encode(view(spark, sf, "corpus").select("doc_id", "text"))
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     return vectors.select("doc_id", F.size("embedding").alias("size"), F.round(norm, 4).alias("norm"))
 
 
+def saved_encoder(spark, docs, text="text"):
+    path = scratch_path(spark, "encoder")
+    TE.fit_encoder(docs, text).save(spark, path)
+    return TE.TextEncoder.load(spark, path)
+
+
+def knowledge_base(spark, sf):
+    """Chunks of the corpus, their saved encoder and their stored index."""
+    chunks = cut_lineage(chunked(spark, sf).select("chunk_id", "doc_id", "chunk_index", "chunk", "source_path", "document_type", "evidence_type", "event_type", "severity", "is_synthetic"))
+    encoder = saved_encoder(spark, chunks, "chunk")
+    return chunks, encoder, VI.build_index(encoder.encode(chunks, "chunk"), scratch_path(spark, "knowledge"), "chunk_id")
+
+
+@query("ask_corpus")
+def ask_corpus(spark, sf):
+    """The opening of each fiftieth document as a question over the incidents of its own severity; hits and where they come from."""
+    chunks, encoder, index = knowledge_base(spark, sf)
+    asked = chunks.filter("doc_id % 50 = 0 AND chunk_index = 0").select(F.col("doc_id").alias("query_id"), F.substring("chunk", 1, 200).alias("question"), "severity")
+    hits = V.ask(index, encoder, asked, 5, match=("severity",), document_type="synthetic_incident")
+    return hits.select("query_id", "rank", "chunk_id", "doc_id", "severity", F.round("distance", 4).alias("distance"))
+
+
+@query("ask_corpus_self", CHUNKS + "SELECT doc_id AS query_id, TRUE AS found FROM chunks WHERE doc_id % 50 = 0 AND chunk_index = 0 AND regexp_matches(chunk, '[\\p{L}\\p{N}]')")
+def ask_corpus_self(spark, sf):
+    """A whole chunk as the question finds a chunk at no distance, itself or one of the same words."""
+    chunks, encoder, index = knowledge_base(spark, sf)
+    asked = chunks.filter("doc_id % 50 = 0 AND chunk_index = 0").select(F.col("doc_id").alias("query_id"), F.col("chunk").alias("question"))
+    return V.ask(index, encoder, asked, 1, synthetic_only=False).select("query_id", (F.col("distance") < 1e-4).alias("found"))
+
+
 ASKED = with_views("evidence_corpus") + """,
 long AS (SELECT event_type, i, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT event_type, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM vectors)),
 centre AS (SELECT event_type AS query_id, i, avg(x) AS m FROM long GROUP BY event_type, i UNION ALL SELECT 'heat_dissipation_failure', i, avg(x) FROM long GROUP BY i),
@@ -132,6 +182,13 @@ def shown(hits, *columns):
     return hits.select("query_id", "vec_id", *columns, F.round("distance", 6).alias("distance"))
 
 
+def stored_index(spark, sf, corpus="vectors"):
+    """The index of a corpus as a later session opens it."""
+    path = scratch_path(spark, "index")
+    VI.build_index(view(spark, sf, corpus), path)
+    return VI.open_index(spark, path)
+
+
 TOP = ", {n} AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(d, 6), vec_id) AS INT) AS rank FROM pairs WHERE {where}) WHERE rank <= {k})\n"
 
 
@@ -144,10 +201,20 @@ def similarity_topk(spark, sf):
 @query("retrieve", ASKED + TOP.format(n="h", where="document_type = 'synthetic_incident' AND event_type = wanted_event AND severity = coalesce(wanted_severity, severity)", k=5)
        + "SELECT query_id, vec_id, rank, round(d, 6) AS distance, event_type, severity FROM h")
 def retrieve(spark, sf):
-    hits = V.retrieve(view(spark, sf, "vectors"), asked(spark, sf), 5, ("event_type", "severity"), document_type="synthetic_incident")
+    hits = V.retrieve(stored_index(spark, sf), asked(spark, sf), 5, ("event_type", "severity"), document_type="synthetic_incident")
     return shown(hits, "rank", "event_type", "severity")
 
 
+@query("retrieve_approx", ASKED + TOP.format(n="h", where="TRUE", k=5) + "SELECT query_id, count(*) AS hits, TRUE AS recalled FROM h GROUP BY query_id")
+def retrieve_approx(spark, sf):
+    """Hits of a search that stops after three quarters of the cells, and whether at least four of the five nearest rows are among them."""
+    index, questions = stored_index(spark, sf), asked(spark, sf)
+    found = VI.search(index, questions, 5, where=V.keep_condition(), probes=max(1, 3 * len(index.cells) // 4)).select("query_id", "vec_id")
+    exact = V.similarity_topk(V.keep_filters(view(spark, sf, "vectors")), questions, 5).select("query_id", "vec_id", F.lit(True).alias("near"))
+    both = found.join(exact, ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.count("*").alias("hits"), F.count("near").alias("near"))
+    return both.select("query_id", "hits", (F.col("near") >= 0.8 * F.col("hits")).alias("recalled"))
+
+
 @query("evidence_rank", ASKED + TOP.format(n="h", where="event_type = wanted_event", k=20) + "SELECT query_id, vec_id, rank FROM h")
 def evidence_rank(spark, sf):
     """Hits of each question's own event type, numbered by distance."""
@@ -167,10 +234,9 @@ fb AS (SELECT * FROM (SELECT *, 0 AS added FROM f UNION ALL SELECT *, 1 FROM x)
 
 
 def _fallback(spark, sf, corpus="evidence_corpus"):
-    corpus, questions = view(spark, sf, corpus), asked(spark, sf)
-    filtered = V.retrieve(corpus, questions, 6, ("event_type", "severity"), document_type="synthetic_incident").drop("rank")
-    unfiltered = V.retrieve(corpus, questions, 6, (), document_type="synthetic_incident").drop("rank")
-    return V.with_fallback(filtered, unfiltered, 6)
+    parts = {"filtered": ("synthetic_incident", ("event_type", "severity")), "unfiltered": ("synthetic_incident", ())}
+    found = V.searches(stored_index(spark, sf, corpus), asked(spark, sf), 6, parts)
+    return V.with_fallback(found["filtered"], found["unfiltered"], 6)
 
 
 @query("fallback_evidence", FALLBACK + "SELECT query_id, vec_id, incident_id, round(d, 6) AS distance FROM fb")
@@ -202,7 +268,7 @@ ec AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(d,
 
 
 def chosen(spark, sf):
-    return V.incident_evidence(view(spark, sf, "evidence_corpus"), asked(spark, sf), 6)
+    return V.incident_evidence(stored_index(spark, sf, "evidence_corpus"), asked(spark, sf), 6)
 
 
 @query("incident_evidence", CHOSEN + "SELECT query_id, vec_id, role AS retrieval_role, final_rank, round(d, 6) AS distance FROM ec")
@@ -212,10 +278,7 @@ def incident_evidence(spark, sf):
 
 @query("union_evidence", CHOSEN + "SELECT role AS retrieval_role, count(*) AS n FROM e GROUP BY role")
 def union_evidence(spark, sf):
-    corpus, questions = view(spark, sf, "evidence_corpus"), asked(spark, sf).withColumn("wanted_event", F.col("event_type"))
-    procedures = V.retrieve(corpus, questions, 6, (), document_type="safety_procedure").drop("rank")
-    procedures = V.relevant_procedures(procedures.join(questions.select("query_id", "wanted_event"), "query_id"))
-    both = V.union_evidence(V.dedupe_evidence(_fallback(spark, sf), "incident_id"), V.dedupe_evidence(procedures, "procedure_id"))
+    both = V.evidence_parts(stored_index(spark, sf, "evidence_corpus"), asked(spark, sf), 6)
     return both.groupBy("retrieval_role").agg(F.count("*").alias("n"))
 
 
@@ -223,7 +286,7 @@ def union_evidence(spark, sf):
        + """SELECT query_id, vec_id, role AS retrieval_role, rk AS rank, round(d, 6) AS distance FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(d, 6), vec_id) AS INT) AS rk
  FROM (SELECT *, 'procedure' AS role FROM pr UNION ALL SELECT *, 'incident' FROM inc)) WHERE rk <= 5""")
 def balanced_evidence(spark, sf):
-    hits = V.balanced_evidence(view(spark, sf, "vectors"), asked(spark, sf), 5, ("event_type",))
+    hits = V.balanced_evidence(stored_index(spark, sf), asked(spark, sf), 5, ("event_type",))
     return shown(hits, "retrieval_role", "rank")
 
 

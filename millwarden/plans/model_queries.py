@@ -17,7 +17,6 @@ from millwarden.operators import series as S
 from millwarden.operators.risk import minmax_normalize, risk_table
 from millwarden.operators.splitting import stratified_split
 from millwarden.plans.catalog import query
-from millwarden.plans.document_queries import asked
 from millwarden.plans.metric_queries import labelled
 from millwarden.plans.views import view, with_views
 from millwarden.session import cut_lineage, scratch_path
@@ -228,13 +227,6 @@ def risk_table_models(spark, sf):
     return risk_table(spark.read.parquet(path)).drop("isolation_score")
 
 
-@query("retrieve_approx")
-def retrieve_approx(spark, sf):
-    corpus = view(spark, sf, "vectors").filter("is_synthetic")
-    hits = L.retrieve_approx(corpus.select("vec_id", "embedding"), asked(spark, sf), 5)
-    return hits.select("query_id", "vec_id", "rank", F.round("distance", 6).alias("distance"))
-
-
 @query("feature_gate", "SELECT '" + "|".join([*FEATURES, "type_H", "type_L", "type_M"]) + "' AS features FROM (SELECT count(*) FROM lineitem)")
 def feature_gate(spark, sf):
     """Feature order a model must have been trained with."""

@@ -61,3 +61,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "stage")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete_stage(spark: SparkSession, path: str) -> None:
+    """Remove a stage of ``scratch_path`` that nothing reads any more."""
+    if not path.startswith(shared_folder(spark).rstrip("/")):
+        raise ValueError("only stages below the shared folder are removed")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
