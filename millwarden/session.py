@@ -60,7 +60,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder, so a lost executor re-reads it."""
     path = scratch_path(df.sparkSession, "stage")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._stage = path
+    return written
+
+
+def drop_stage(df: DataFrame) -> None:
+    """Remove what ``cut_lineage`` wrote for ``df``, once nothing that reads it is still to run."""
+    delete_stage(df.sparkSession, df._stage)
 
 
 def delete_stage(spark: SparkSession, path: str) -> None:
