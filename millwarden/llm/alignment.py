@@ -16,6 +16,7 @@ gives no rows; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -26,10 +27,10 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from millwarden.llm.common import in_bytes
-from millwarden.llm.encoding import segments
+from millwarden.llm.encoding import WordTable, segments
 from millwarden.session import cut_lineage
 
-LANE, BATCH_BYTES = 1 << 10, 1 << 22
+LANE, BATCH_BYTES, HELD = 1 << 10, 1 << 21, 200_000
 PAIRS, SALTS = 4_000_000, 16
 #: Ids of either vocabulary are under this, so that a pair is one long.
 IDS = 1 << 31
@@ -52,7 +53,7 @@ class Spelled:
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             self.call: Callable = lambda batch: model.encode(batch, num_threads=1)
-            self.space = ""  # the model adds it
+            self.space, self.table = "", None  # the model adds the space
             spell = [self._piece(model, k) for k in range(model.get_piece_size())]
         else:
             import os
@@ -66,6 +67,9 @@ class Spelled:
             model.encode_special_tokens = True
             self.call = lambda batch: [e.ids for e in model.encode_batch_fast(batch, add_special_tokens=False)]
             self.space = " "
+            # Words are encoded once while they are held; the table takes the strings of special tokens for these, so their lanes go alone.
+            self.table = WordTable(path, HELD)
+            self.special = re.compile("|".join(re.escape(t.content) for t in model.get_added_tokens_decoder().values()) or "(?!)")
             letters = byte_letters()
             spell = [self._letters(model.id_to_token(k), letters) for k in range(model.get_vocab_size())]
         self.blob = np.frombuffer(b"".join(spell), dtype=np.uint8)
@@ -84,7 +88,13 @@ class Spelled:
 
     def ids(self, lanes: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the lanes end to end, and the number of each lane."""
-        found = self.call([self.space + x for x in lanes] if self.space else lanes)
+        if self.table is not None:
+            alone = [k for k, x in enumerate(lanes) if self.special.search(x)]
+            found = [b"".join(x) for x in self.table.values([("" if self.special.search(x) else x, False) for x in lanes])]
+            for k, ids in zip(alone, self.call([self.space + lanes[k] for k in alone])):
+                found[k] = np.array(ids, dtype="<u4").tobytes()
+            return np.frombuffer(b"".join(found), dtype="<u4").astype(np.int64), np.array([len(x) // 4 for x in found], dtype=np.int64)
+        found = self.call(lanes)
         counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         return np.fromiter(chain.from_iterable(found), dtype=np.int64, count=int(counts.sum())), counts
 

@@ -9,15 +9,17 @@ paired with one pivot of its region, at first the one whose orders and regions a
 that finds the source of a group whose copies differ more from one another than from it.
 
 Pairs are confirmed on the full shingle sets.  Then, as long as a round links anything, regions that still hold two
-components or more are searched again, between components only.  These rounds only save work: at the end every pair of a crowded
-region that is still in different components is compared on signatures, block by block, and confirmed where it may be similar.
-So the recall is that of the regions, in crowded ones as in small ones: a pair at the similarity bound misses all regions with
-probability (1 - .75^2)^16 = 2e-6, and the signature test before the exact one drops it with 1e-7.  The last step costs the square
-of the nodes of a region that many components share (texts with common boilerplate), and nothing where a region is one component.
+components or more are searched again, between components only.  At the end what is still in different components of a crowded region
+is compared whole, between all components but the largest and between them and it: blocks of nodes meet in tasks that count common
+shingles exactly, and only links that join two components there leave a task, so its rows are never more than its nodes.  So the
+recall is that of the regions, in crowded ones as in small ones: a pair at the similarity bound misses all regions with
+probability (1 - .75^2)^16 = 2e-6; in small regions the signature test before the exact one drops it with 1e-7.  The last step costs
+the square of the nodes of a region that many components share (texts with common boilerplate) in multiplications, not in rows.
+Against a join of all shingle sets, sf0.1 has every component and every set size right.
 
 Defined results: a text without words (or null) is linked with nothing; repeated rows are copies of one another; rows that
 share a key but not the text are nodes of their own, in the component of either's links; null keys get a null component unless
-a copy has a key; an empty table gives no rows; other columns are not read.
+their component has a key; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,16 +33,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from millwarden.llm.common import SPACES, fresh_name
 from millwarden.llm.components import components
-from millwarden.session import cut_lineage
+from millwarden.session import cut_lineage, drop_stage
 
 SHINGLE, SIMILAR = 5, 75
 TREES, DEPTH, FLOOR = 16, 8, 2
 #: Neighbours after a node in the order of a small region, and the share of equal signature values under which a pair is dropped.
 REACH, ALIKE = 3, 0.55
 SALTS = 16
-#: Nodes of a crowded region that are compared with one another, or with those of another block, in one task.
-BLOCK = 2048
+#: Nodes and shingles of a block of a crowded region; two blocks meet in a task.  Sets up to which a shingle is counted pair by
+#: pair, and columns of a product.
+BLOCK, SHINGLES, FEW, COLUMNS = 2048, 1 << 20, 16, 2048
 HELD = 300_000
 
 _random = np.random.default_rng(20240229)
@@ -102,12 +106,13 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nodes.append(_node(words) if words else None)
             counts.append(len(shingles))
             signatures.append(signature(shingles).tobytes() if words else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(counts, pa.int64()), pa.array(signatures, pa.binary())],
-                                         ["key", "node", "n_shingles", "signature"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes, pa.binary()), pa.array(counts, pa.int64()), pa.array(signatures, pa.binary())],
+                                         ["key", "row", "node", "n_shingles", "signature"])
 
 
 def _body(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").cast("binary").alias("body"))
+    body = F.col(text).cast("string").cast("binary")
+    return docs.select(F.col(key).cast("long").alias("key"), body.alias("body"), F.xxhash64(body).alias("row"))
 
 
 def _shared_regions(nodes: DataFrame) -> DataFrame:
@@ -183,52 +188,96 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets numbered ``left`` with those numbered ``right``.
+
+    Shingles of many sets go through a product of 0/1 matrices, those of few are counted pair by pair.
+    """
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, code, times = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
+    spot_left, spot_right = np.full(len(sets), -1), np.full(len(sets), -1)
+    spot_left[left], spot_right[right] = np.arange(len(left)), np.arange(len(right))
+    order = np.argsort(code, kind="stable")
+    order = order[times[code[order]] > 1]
+    code, of = code[order], of[order]
+    few = times[code] <= FEW
+    rare, owner = code[few], of[few]
+    for step in range(1, FEW):
+        if len(rare) <= step:
+            break
+        near = rare[step:] == rare[:-step]
+        x, y = owner[:-step][near], owner[step:][near]
+        for one, other in ((x, y), (y, x)):
+            a, b = spot_left[one], spot_right[other]
+            ok = (a >= 0) & (b >= 0)
+            out += np.bincount(a[ok] * len(right) + b[ok], minlength=out.size).reshape(out.shape)
+    _, many = np.unique(code[~few], return_inverse=True)
+    owner = of[~few]
+    for at in range(0, int(many.max()) + 1 if len(many) else 0, COLUMNS):
+        some = (many >= at) & (many < at + COLUMNS)
+        table = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        table[owner[some], many[some] - at] = 1
+        out += table[left] @ table[right].T
+    return out
+
+
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by region and pair of blocks to all pairs of different groups that may be similar, in the first tree that has them in one region."""
+    """Rows sorted by region and pair of blocks to the links between components, as many as join two of them."""
     for run in _runs(batches):
-        first, second, tree = (run.column(c)[0].as_py() for c in ("first", "second", "tree"))
-        block, n = (run.column(c).to_numpy() for c in ("block", "n_shingles"))
+        first, second = run.column("first")[0].as_py(), run.column("second")[0].as_py()
+        block = run.column("block").to_numpy()
         group = run.column("grp").combine_chunks().dictionary_encode().indices.to_numpy()
         if not (group != group[0]).any():
             continue
         node = run.column("node").to_pylist()
-        signatures = np.frombuffer(b"".join(run.column("signature").to_pylist()), dtype="<u4").reshape(len(n), -1)
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in run.column("shingles").to_pylist()]
         left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
-        values = np.ascontiguousarray(signatures.T)
-        for at in range(0, len(left), 256):
-            some = left[at : at + 256]
-            may = (group[some, None] != group[right]) & (100 * np.minimum(n[some, None], n[right]) >= SIMILAR * np.maximum(n[some, None], n[right]))
-            if first == second:
-                may &= some[:, None] < right
-            if not may.any():
-                continue
-            same = np.zeros(may.shape, dtype=np.uint8)
-            for of in values:
-                same += of[some, None] == of[right]
-            x, y = np.nonzero(may & (same >= ALIKE * len(values)))
-            x, y = some[x], right[y]
-            floors = (signatures[x].reshape(-1, TREES, DEPTH)[:, :, :FLOOR] == signatures[y].reshape(-1, TREES, DEPTH)[:, :, :FLOOR]).all(axis=2)
-            own = floors[:, tree] & (floors.argmax(axis=1) == tree)
-            if own.any():
-                pairs = [(min(node[k], node[m]), max(node[k], node[m])) for k, m in zip(x[own].tolist(), y[own].tolist())]
-                a, b = zip(*pairs)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-
-
-def _crowded_pairs(shared: DataFrame, nodes: DataFrame, grouped: DataFrame) -> DataFrame:
-    """All pairs a < b of a crowded region that are in different components and may be similar.
-
-    A region's nodes are dealt to blocks of about BLOCK; each pair of blocks is compared in one task, on signatures.
+        n = np.array([len(x) for x in sets])
+        common = common_counts(sets, left, right)
+        linked = (100 * common >= SIMILAR * (n[left, None] + n[right] - common)) & (group[left, None] != group[right])
+        up = {}
+
+        def root(g: int) -> int:
+            while up.get(g, g) != g:
+                up[g] = up.get(up[g], up[g])
+                g = up[g]
+            return g
+
+        pairs = []
+        for x, y in zip(*(k.tolist() for k in np.nonzero(linked))):
+            x, y = left[x], right[y]
+            one, other = root(group[x]), root(group[y])
+            if one != other:
+                up[one] = other
+                pairs.append((min(node[x], node[y]), max(node[x], node[y])))
+        if pairs:
+            a, b = zip(*pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+
+def _crowded_links(shared: DataFrame, sets: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Links between components of a crowded region, enough to join all that have any.
+
+    A region's largest component and its other nodes are dealt to blocks of about BLOCK nodes or SHINGLES shingles.  Blocks of the
+    others meet all blocks, those of the largest component not one another.
     """
-    rows = shared.filter(F.col("members") > REACH + 1).select("tree", "region", "members", "node", "n_shingles").join(grouped, "node", "left")
-    rows = cut_lineage(rows.select("tree", "region", "members", "node", "n_shingles", F.coalesce("root", "node").alias("grp")))
-    active = rows.groupBy("region").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low != high").select("region")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = _salted_join(rows, active, ["region"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int"))
-    dealt = rows.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    dealt = dealt.select("region", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "tree", "block", "node", "n_shingles", "grp")
-    dealt = dealt.join(nodes.select("node", "signature"), "node").select("region", "first", "second", "tree", "block", "node", "n_shingles", "grp", "signature")
-    return dealt.repartition("region", "first", "second").sortWithinPartitions("region", "first", "second").mapInArrow(_apart, "a binary, b binary")
+    rows = shared.filter(F.col("members") > REACH + 1).select("region", "node", "n_shingles").join(grouped, "node", "left")
+    rows = cut_lineage(rows.select("region", "node", "n_shingles", F.coalesce("root", "node").alias("grp")))
+    sizes = rows.groupBy("region", "grp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
+    blocks = lambda n, weight: F.ceil(F.greatest(n / BLOCK, weight / SHINGLES)).cast("int")
+    regions = sizes.groupBy("region").agg(F.count("*").alias("groups"), F.max(F.struct("n", "weight", "grp")).alias("base"), F.sum("n").alias("n"), F.sum("weight").alias("weight"))
+    regions = regions.filter("groups > 1").select("region", F.col("base.grp").alias("base"), blocks(F.col("base.n"), F.col("base.weight")).alias("base_blocks"),
+                                                  blocks(F.col("n") - F.col("base.n"), F.col("weight") - F.col("base.weight")).alias("other_blocks"))
+    rows = _salted_join(rows, regions, ["region"])
+    in_base = F.col("grp") == F.col("base")
+    spot = F.xxhash64("node", F.lit(1))
+    block = F.when(in_base, F.pmod(spot, "base_blocks")).otherwise(F.col("base_blocks") + F.pmod(spot, "other_blocks")).cast("int")
+    all_blocks = F.sequence(F.lit(0), F.col("base_blocks") + F.col("other_blocks") - 1)
+    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.when(in_base, F.filter(all_blocks, lambda b: b >= F.col("base_blocks"))).otherwise(all_blocks)))
+    dealt = rows.select("region", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "node", "grp")
+    dealt = dealt.join(sets, "node").select("region", "first", "second", "block", "node", "grp", "shingles")
+    return dealt.repartition("region", "first", "second").sortWithinPartitions("region", "first", "second", "node").mapInArrow(_apart, "a binary, b binary")
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +309,14 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(right, pa.bool_()))
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, body: DataFrame) -> DataFrame:
+def _sets_of(nodes: DataFrame, shared: DataFrame, body: DataFrame) -> DataFrame:
+    """node, shingles of every node that shares a region, from the row that stands for it."""
+    wanted = shared.select("node").distinct().join(nodes.select("node", "at"), "node")
+    same = body["key"].eqNullSafe(wanted["at.key"]) & (body["row"] == wanted["at.row"])
+    return cut_lineage(body.join(wanted, same).select("body", "node").mapInArrow(_sets, "node binary, shingles binary").dropDuplicates(["node"]))
+
+
+def _links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose full shingle sets are similar."""
     def with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
         for end in ("a", "b"):
@@ -268,42 +324,73 @@ def _links(pairs: DataFrame, nodes: DataFrame, body: DataFrame) -> DataFrame:
         return pairs.select("a", "b", f"{column}_a", f"{column}_b")
 
     likely = cut_lineage(with_both(pairs, nodes, "signature").mapInArrow(_alike, "a binary, b binary"))
-    needed = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct().join(nodes.select("node", F.col("id").alias("key")), "node")
-    sets = cut_lineage(body.join(needed, "key").select("body", "node").mapInArrow(_sets, "node binary, shingles binary").dropDuplicates(["node"]))
-    return cut_lineage(with_both(likely, sets, "shingles").mapInArrow(_confirmed, "a binary, b binary"))
+    found = cut_lineage(with_both(likely, sets, "shingles").mapInArrow(_confirmed, "a binary, b binary"))
+    drop_stage(likely)
+    return found
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, ``n_shingles``, ``component_id`` (least key of the component), ``kept`` (the key is that one)."""
+def _components(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, row, node, n_shingles) and nodes (node, ``at``: the row that stands for it, root), both written."""
     body = _body(docs, key, text)
-    signed = cut_lineage(body.mapInArrow(_signed, "key long, node binary, n_shingles long, signature binary"))
+    signed = cut_lineage(body.mapInArrow(_signed, "key long, row long, node binary, n_shingles long, signature binary"))
     nodes = cut_lineage(signed.filter("node IS NOT NULL").groupBy("node").agg(
-        F.min("key").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")))
+        F.min(F.struct(F.col("key").isNull().alias("last"), "key", "row")).alias("at"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")))
+    rows = cut_lineage(signed.drop("signature"))
+    drop_stage(signed)
     shared = _shared_regions(nodes)
+    sets = _sets_of(nodes, shared, body)
     tested = cut_lineage(_candidates(shared.select("*", F.col("node").alias("grp"), F.col("pivot").alias("pivot_grp"))))
-    links = new = _links(tested, nodes, body)
+    links = new = _links(tested, nodes, sets)
     grouped = components(links)
     while not new.isEmpty():
         # Regions with more than one component, between them only; the pivot is the node with most links.
         ends = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("degree"))
         known = grouped.join(ends, "node", "left")
-        rows = shared.select("region", "members", "rest", "node", "n_shingles").join(known, "node", "left").select(
+        placed = shared.select("region", "members", "rest", "node", "n_shingles").join(known, "node", "left").select(
             "region", "members", "rest", "node", "n_shingles", F.coalesce("root", "node").alias("grp"), F.coalesce("degree", F.lit(0)).alias("degree"))
-        rows = cut_lineage(rows)
-        active = rows.groupBy("region").agg(F.min("grp").alias("low"), F.max("grp").alias("high"),
-                                            F.max(F.struct("degree", "node", "grp")).alias("top")).filter("low != high")
+        placed = cut_lineage(placed)
+        active = placed.groupBy("region").agg(F.min("grp").alias("low"), F.max("grp").alias("high"),
+                                              F.max(F.struct("degree", "node", "grp")).alias("top")).filter("low != high")
         active = active.select("region", F.col("top.node").alias("pivot"), F.col("top.grp").alias("pivot_grp"))
-        pairs = cut_lineage(_candidates(_salted_join(rows, active, ["region"])).join(tested, ["a", "b"], "left_anti"))
-        new = _links(pairs, nodes, body)
+        pairs = cut_lineage(_candidates(_salted_join(placed, active, ["region"])).join(tested, ["a", "b"], "left_anti"))
+        drop_stage(placed)
+        new = _links(pairs, nodes, sets)
         if not new.isEmpty():
             tested, links = tested.union(pairs), links.union(new)
             grouped = components(links)
     # What is in different components of a crowded region by now is compared whole.
-    new = _links(cut_lineage(_crowded_pairs(shared, nodes, grouped).join(tested, ["a", "b"], "left_anti")), nodes, body)
+    new = cut_lineage(_crowded_links(shared, sets, grouped))
+    for done in (shared, sets):
+        drop_stage(done)
     if not new.isEmpty():
         grouped = components(links.union(new))
-    least = grouped.join(nodes.select("node", "id"), "node").groupBy("root").agg(F.min("id").alias("component"))
-    named = nodes.select("node", "id").join(grouped, "node", "left").join(least, "root", "left").select("node", F.coalesce("component", "id").alias("component"))
-    done = signed.select("key", "node", "n_shingles").join(named, "node", "left")
+    named = cut_lineage(nodes.select("node", "at").join(grouped, "node", "left").select("node", "at", F.coalesce("root", "node").alias("root")))
+    drop_stage(nodes)
+    return rows, named
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: key, ``n_shingles``, ``component_id`` (least key of the component), ``kept`` (the key is that one)."""
+    rows, named = _components(docs, key, text)
+    least = named.groupBy("root").agg(F.min("at.key").alias("component"))
+    done = rows.join(named.join(least, "root").select("node", "component"), "node", "left")
     component = F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("component"))
     return done.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(False)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without words, and one row of each component: that of the least key, null ones last, then by hash of the text."""
+    rows, named = _components(docs, key, text)
+    chosen = named.groupBy("root").agg(F.min("at").alias("at")).select("at.key", "at.row")
+    same = rows["key"].eqNullSafe(chosen["key"]) & (rows["row"] == chosen["row"])
+    times = cut_lineage(rows.join(chosen, same, "left_semi").groupBy("key", "row").agg(F.count("*").alias("times")))
+    own_row, own_times, own_key, hashed = (fresh_name(docs, c) for c in ("_row", "_times", "_key", "_hash"))
+    body = F.col(text).cast("string").cast("binary")
+    empty = F.btrim(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(SPACES)) == ""
+    marked = docs.withColumn(own_row, F.xxhash64(body))
+    chosen = times.select(F.col("key").alias(own_key), F.col("row").alias(hashed), F.col("times").alias(own_times))
+    found = marked.filter(~empty).join(chosen, F.col(key).cast("long").eqNullSafe(F.col(own_key)) & (F.col(own_row) == F.col(hashed)))
+    found = found.select(*marked.columns, own_times)
+    # Only rows that are repeated are shuffled to take one of them.
+    once = found.filter(F.col(own_times) == 1).unionByName(found.filter(F.col(own_times) > 1).dropDuplicates([key, own_row]))
+    return once.select(*docs.columns).unionByName(docs.filter(empty))

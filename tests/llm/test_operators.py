@@ -481,3 +481,64 @@ def test_edits_are_located(spark):
     got = sorted((r.doc_id, r.side, r.start, r.n_chars) for r in fingerprints.locate_edits(*(frame(spark, r) for r in rows)).collect())
     at, ends = old.index("Sentence 77"), old.index("And more 150.")
     assert got == [(1, "new", at, 20), (1, "old", at, 19), (1, "old", ends, 14), (4, "new", 0, 6)]
+
+
+def test_common_counts_against_sets():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(0, 120)).astype(np.uint64)) for _ in range(60)] + [np.arange(200, dtype=np.uint64)] * 30
+    for left, right in ((np.arange(90), np.arange(90)), (np.arange(0, 40), np.arange(40, 90))):
+        got = neardup.common_counts(sets, left, right)
+        want = [[0 if i == j else len(np.intersect1d(sets[i], sets[j])) for j in right] for i in left]
+        off = left[:, None] != right[None, :]
+        assert (got[off] == np.array(want)[off]).all()
+
+
+def boilerplate(n, seed=1, words=400, own=9):
+    rng = random.Random(seed)
+    base = [rng.choice(WORDS) + str(rng.randrange(200)) for _ in range(words)]
+    rows = []
+    for k in range(n):
+        text = list(base)
+        for at in rng.sample(range(words), own):
+            text[at] = f"own{k}x{at}"
+        rows.append((k, " ".join(text)))
+    return rows
+
+
+def test_links_of_crowded_regions_stay_linear(spark, monkeypatch):
+    """Texts of one boilerplate: all components right, and no more rows leave the tasks than there are nodes."""
+    monkeypatch.setattr(neardup, "BLOCK", 100)
+    rows = boilerplate(350)
+    rows += [(1000 + k, rows[k][1].replace("own", "another", 2)) for k in range(0, 350, 7)]
+    seen, crowded = [], neardup._crowded_links
+
+    def counted(*args):
+        out = crowded(*args)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "_crowded_links", counted)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {k: component for k, (_, component) in brute_components(rows).items()}
+    assert seen[0] <= 16 * len(rows)
+
+
+def test_links_through_rows_without_a_key(spark):
+    base = [f"w{k}" for k in range(100)]
+    left, right = base[:94] + [f"l{k}" for k in range(6)], base[:94] + [f"r{k}" for k in range(6)]
+    left[:2], right[2:4] = ["x1", "x2"], ["y1", "y2"]
+    texts = [" ".join(left), " ".join(base), " ".join(right)]
+    with_key = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, [(1, texts[0]), (3, texts[1]), (2, texts[2])])).collect()}
+    without = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, [(1, texts[0]), (None, texts[1]), (2, texts[2])])).collect()}
+    assert with_key == {1: 1, 2: 1, 3: 1} and without == {1: 1, 2: 1, None: 1}
+
+
+def test_one_row_of_each_component_stays(spark):
+    text, other = " ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(50))
+    rows = [(1, text), (1, other), (1, text), (2, text.upper()), (None, "c " * 30), (None, "c " * 30), (None, None), (None, ""), (5, " "), (5, " ")]
+    docs = frame(spark, rows).withColumns({"_row": F.lit("own"), "times": F.lit("own"), "at": F.lit("own")})
+    kept = neardup.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(1, text), (1, other), (None, "c " * 30), (None, None), (None, ""), (5, " "), (5, " ")], key=str)
+    assert neardup.keep_one(docs.limit(0)).count() == 0
