@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows it is given and returns a DataFrame; all but the last keep the
 columns of ``docs``.  Stages handle nulls in any column, empty and long texts, repeated rows and extra columns as their
-operators state; of rows that share a key the near-duplicate stage keeps one.
+operators state.
 """
 
 from __future__ import annotations
@@ -31,10 +31,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of each near-duplicate component with the least key, once; rows without a key stay."""
-    kept = cut_lineage(neardup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct())
-    once = docs.filter("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.filter("doc_id IS NULL"))
+    """One document of each near-duplicate component, that of the least key; documents without words stay."""
+    return neardup.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
