@@ -15,7 +15,7 @@ from pyspark.ml.classification import (
     NaiveBayes,
     RandomForestClassifier,
 )
-from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -23,6 +23,7 @@ from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millwarden.operators.evaluation import areas, best_threshold, classification_report, confusion, curve_points, threshold_sweep
 from millwarden.operators.boosting import BoostedModel, Boosting, fit_boosted
 from millwarden.operators.preparing import Preparation, fit_preparation
 from millwarden.session import cut_lineage
@@ -89,8 +90,8 @@ def train_and_score(df: DataFrame, key: str, label: str, models: dict[str, Calla
     return reduce(DataFrame.unionByName, [score(model, held, [key], name) for name, model in fitted.items()])
 
 
-def out_of_fold(df: DataFrame, key: str, label: str, models: dict[str, Callable[[], Estimator | Boosting]], folds: int = 5, prefit: bool = False) -> DataFrame:
-    """Every row scored once per model, by the fit that did not see its fold.
+def fold_tables(df: DataFrame, key: str, label: str, folds: int, prefit: bool = False) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Per fold, the prepared rows of the other folds and its own.
 
     Preparation is refitted on each fold's own train rows; ``prefit`` learns it
     once on all rows instead.
@@ -104,10 +105,36 @@ def out_of_fold(df: DataFrame, key: str, label: str, models: dict[str, Callable[
         preparation = shared or fit_preparation(train)
         tables.append(cut_lineage(with_weights(model_input(train, preparation, label, [key]))))
         held.append(model_input(folded.filter(F.col("fold") == fold), preparation, label, [key, "fold"]))
+    return tables, held
+
+
+def out_of_fold(df: DataFrame, key: str, label: str, models: dict[str, Callable[[], Estimator | Boosting]], folds: int = 5, prefit: bool = False) -> DataFrame:
+    """Every row scored once per model, by the fit that did not see its fold."""
+    tables, held = fold_tables(df, key, label, folds, prefit)
     fitted = fit_all(tables, models, key)
     return reduce(DataFrame.unionByName, [score(model, rows, [key, "fold"], name) for rows, of_fold in zip(held, fitted) for name, model in of_fold.items()])
 
 
+def locked_evaluation(df: DataFrame, key: str, label: str, models: dict[str, Callable[[], Estimator | Boosting]], folds: int = 5) -> DataFrame:
+    """Per model the threshold of highest F1 out of fold on the train part, and its rates on the test part, which chose nothing.
+
+    The fits on the whole train part and those of its folds share the boosted models' passes.
+    """
+    split = cut_lineage(stratified_split(df, label, key))
+    train, test = split.filter("part = 'train'").drop("part"), split.filter("part = 'test'").drop("part")
+    tables, held = fold_tables(train, key, label, folds)
+    preparation = fit_preparation(train)
+    tables.append(cut_lineage(with_weights(model_input(train, preparation, label, [key]))))
+    *of_folds, last = fit_all(tables, models, key)
+    scored = [score(model, rows, [key, "fold"], name) for rows, of_fold in zip(held, of_folds) for name, model in of_fold.items()]
+    chosen = best_threshold(threshold_sweep(cut_lineage(reduce(DataFrame.unionByName, scored)), ["model"], "p", "label"), ["model"])
+    tested = cut_lineage(reduce(DataFrame.unionByName, [score(model, model_input(test, preparation, label, [key]), [key], name) for name, model in last.items()]))
+    # One threshold per model.
+    marked = tested.join(F.broadcast(chosen.select("model", "best_threshold")), "model")
+    rates = classification_report(confusion(marked, ["model", "best_threshold"], F.col("p") >= F.col("best_threshold"), "label"))
+    return rates.join(areas(curve_points(tested, ["model"], "p", "label"), ["model"]).drop("pr_auc"), "model").orderBy(F.desc("f1"), "model")
+
+
 def fourier_features(column: str, width: int, outputs: int = 128, gamma: float | None = None, seed: int = SEED) -> Column:
     """Random Fourier features (Rahimi, Recht 2007) of an array column: a linear stand-in for the RBF kernel."""
     rng = np.random.default_rng(seed)
@@ -216,8 +243,3 @@ def kmeans_select(vectors: DataFrame, ks: Sequence[int] = range(2, 7), restarts:
         if best is None or width > best[0]:
             best = (width, fit)
     return table, best[1]
-
-
-def hierarchical_clusters(vectors: DataFrame, k: int = 3, features: str = "features") -> DataFrame:
-    """Divisive clustering into ``k`` groups."""
-    return BisectingKMeans(k=k, seed=SEED, featuresCol=features, predictionCol="cluster").fit(vectors).transform(vectors)

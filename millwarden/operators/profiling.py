@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -175,24 +176,43 @@ def box_stats(df: DataFrame, features: Sequence[str], group: str) -> DataFrame:
         F.count_if(~inside).alias("outliers"))
 
 
-def density_curve(df: DataFrame, column: str, points: int = 100, cells: int = 512) -> DataFrame:
-    """Gaussian kernel density on an even grid, from a fine histogram; Scott's bandwidth."""
-    stats = df.agg(F.min(column), F.max(column), F.stddev_samp(column), F.count(column)).first()
-    low, high, spread, n = (float(stats[0]), float(stats[1]), float(stats[2] or 0.0), stats[3])
+#: Terms of the expansion around a cell, whose half width is a quarter of the bandwidth: a row's kernel is off by at most
+#: (1/4)^TERMS / sqrt(TERMS!), under 1e-11.  Cells further than REACH bandwidths add under 1e-14 a row.
+TERMS, REACH = 12, 8.25
+
+
+def density_curve(df: DataFrame, column: str, points: int = 100) -> DataFrame:
+    """Gaussian kernel density on an even grid, Scott's bandwidth, by truncated Gauss sums.
+
+    Rows fall into cells of half a bandwidth; a cell's powers of the distance from its centre, summed by Spark, stand for its rows.
+    There are about 2·n^(1/5) cells per deviation of the range.
+    """
+    value = F.col(column).cast("double")
+    stats = df.agg(F.min(value), F.max(value), F.stddev_samp(value), F.count(value)).first()
+    low, high, spread, n = stats[0], stats[1], float(stats[2] or 0.0), stats[3]
     session = df.sparkSession
     if n < 2 or spread == 0.0:
         return session.createDataFrame([], "point int, x double, density double")
     bandwidth = spread * n ** (-1 / 5)
-    width, step = (high - low) / cells, (high - low) / (points - 1)
-    place = F.least(F.floor((F.col(column) - F.lit(low)) / F.lit(width)), F.lit(cells - 1))
-    counts = df.filter(F.col(column).isNotNull()).groupBy(place.alias("cell")).agg(F.count("*").alias("n"))
-    spots = counts.select("n", (F.lit(low) + (F.col("cell") + 0.5) * F.lit(width)).alias("centre"),
-                          F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
-    x = F.lit(low) + F.col("point") * F.lit(step)
-    z = (x - F.col("centre")) / F.lit(bandwidth)
-    return spots.groupBy("point").agg(
-        F.round(F.first(x), 6).alias("x"),
-        F.round(F.sum(F.col("n") * F.exp(-0.5 * z * z)) / F.lit(n * bandwidth * math.sqrt(2 * math.pi)), 6).alias("density"))
+    width = bandwidth / 2
+    cell = F.floor((value - F.lit(low)) / F.lit(width))
+    away = (value - (F.lit(low) + (cell + 0.5) * F.lit(width))) / F.lit(bandwidth)
+    powers = df.filter(value.isNotNull()).groupBy(cell.alias("cell")).agg(*[F.sum(F.pow(away, F.lit(float(k)))).alias(f"p{k}") for k in range(TERMS)])
+    table = np.array([list(r) for r in powers.orderBy("cell").collect()], dtype="float64")
+    centres, moments = low + (table[:, 0] + 0.5) * width, table[:, 1:] / [math.factorial(k) for k in range(TERMS)]
+    out = []
+    for point in range(points):
+        x = low + point * ((high - low) / (points - 1))
+        u = (x - centres) / bandwidth
+        near = np.abs(u) <= REACH
+        u = u[near]
+        # exp(-(u - d)^2 / 2) is exp(-u^2 / 2) times the sum of He_k(u) d^k / k!.
+        before, hermite, total = np.zeros(len(u)), np.ones(len(u)), np.zeros(len(u))
+        for k in range(TERMS):
+            total += hermite * moments[near, k]
+            before, hermite = hermite, u * hermite - k * before
+        out.append((point, round(x, 6), float((np.exp(-0.5 * u * u) * total).sum() / (n * bandwidth * math.sqrt(2 * math.pi)))))
+    return session.createDataFrame(out, "point int, x double, density double").withColumn("density", F.round("density", 6))
 
 
 def trajectory_profile(series: DataFrame, labels: DataFrame, unit: str = "unit_id", cycle: str = "cycle", rul: str = "rul") -> DataFrame:

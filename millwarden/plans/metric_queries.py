@@ -284,19 +284,26 @@ def test_rul(spark, sf):
 SELECT unit_id, end_cycle, CAST(rul AS FLOAT) AS rul, list_aggregate([CAST(CAST(x AS FLOAT) AS VARCHAR) for x in a], 'string_agg', ' ') AS first_sensor,
  list_aggregate([CAST(CAST(x AS FLOAT) AS VARCHAR) for x in b], 'string_agg', ' ') AS second_sensor FROM w WHERE len(a) = 30""")
 def sliding_windows(spark, sf):
-    windows = S.sliding_windows(labelled(spark, sf), ["sensor_1", "sensor_2"])
+    windows = S.sliding_windows(labelled(spark, sf), ["sensor_1", "sensor_2"], position="cycle")
     def text(i):
         return F.array_join(F.transform("seq", lambda row: row[i].cast("string")), " ")
     return windows.select("unit_id", "end_cycle", "rul", text(0).alias("first_sensor"), text(1).alias("second_sensor"))
 
 
-@query("window_features", TRAIN_RUL + """, w AS (SELECT unit_id, cycle AS end_cycle, rul, count(*) OVER f AS n, avg(sensor_1) OVER f AS sensor_1_mean,
- stddev_pop(sensor_1) OVER f AS sensor_1_std, min(sensor_1) OVER f AS sensor_1_min, max(sensor_1) OVER f AS sensor_1_max, sensor_1 AS sensor_1_last,
- regr_slope(sensor_1, cycle) OVER f AS sensor_1_slope FROM r WINDOW f AS (PARTITION BY unit_id ORDER BY cycle ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))
-SELECT unit_id, end_cycle, rul, """ + ", ".join(f"round(sensor_1_{c}, 6) AS sensor_1_{c}" for c in ("mean", "std", "min", "max", "last", "slope")) + " FROM w WHERE n = 30")
+WINDOW_STATS = ("mean", "std", "min", "max", "last", "slope")
+
+
+def _window_stats(c):
+    return (f"avg({c}) OVER f AS {c}_mean, stddev_pop({c}) OVER f AS {c}_std, min({c}) OVER f AS {c}_min, max({c}) OVER f AS {c}_max, {c} AS {c}_last, "
+            f"regr_slope({c}, cycle) OVER f AS {c}_slope")
+
+
+@query("window_features", TRAIN_RUL + ", w AS (SELECT unit_id, cycle AS end_cycle, rul, count(*) OVER f AS n, " + ", ".join(map(_window_stats, ("sensor_1", "sensor_2")))
+       + " FROM r WINDOW f AS (PARTITION BY unit_id ORDER BY cycle ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)) SELECT unit_id, end_cycle, rul, "
+       + ", ".join(f"round({c}_{k}, 6) AS {c}_{k}" for c in ("sensor_1", "sensor_2") for k in WINDOW_STATS) + " FROM w WHERE n = 30")
 def window_features(spark, sf):
-    w = S.window_features(labelled(spark, sf), ["sensor_1"])
-    return w.select("unit_id", "end_cycle", "rul", *[F.round(c, 6).alias(c) for c in w.columns if c.startswith("sensor_1")])
+    w = S.window_features(labelled(spark, sf), ["sensor_1", "sensor_2"], position="cycle")
+    return w.select("unit_id", "end_cycle", "rul", *[F.round(c, 6).alias(c) for c in w.columns if c.startswith("sensor_")])
 
 
 @query("healthy_windows", TRAIN_RUL + """, w AS (SELECT unit_id, cycle AS end_cycle, rul FROM r WHERE cycle >= 30)

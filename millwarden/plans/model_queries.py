@@ -7,24 +7,24 @@ from pyspark.sql import functions as F
 
 from millwarden.functions.scoring import FEATURES
 from millwarden.operators import attribution as A
+from millwarden.operators import boosting as B
 from millwarden.operators import clustering as C
 from millwarden.operators import evaluation as E
+from millwarden.operators import hierarchy as H
 from millwarden.operators import isolation as I
 from millwarden.operators import learning as L
 from millwarden.operators import neighbours as N
 from millwarden.operators import preparing as prep
+from millwarden.operators import sequences as Q
 from millwarden.operators import series as S
 from millwarden.operators.risk import minmax_normalize, risk_table
-from millwarden.operators.splitting import stratified_split
+from millwarden.operators.splitting import group_split, stratified_split
 from millwarden.plans.catalog import query
 from millwarden.plans.metric_queries import labelled
+from millwarden.plans.risk_queries import FOLD_ROWS, FOLDS, GROUP_SPLIT, PREPARED
 from millwarden.plans.views import view, with_views
 from millwarden.session import cut_lineage, scratch_path
 
-# Boosting rounds are cut for the queries only, as each is a pass over the data; README lists this and the other cuts.
-QUERY_MODELS = {"rounds": 10, "boosted_rounds": 10}
-
-
 def machines(spark, sf):
     return view(spark, sf, "telemetry").drop("temperature_differential", "mechanical_power")
 
@@ -42,30 +42,41 @@ def metrics_table(scored):
 
 @query("failure_classifiers")
 def failure_classifiers(spark, sf):
-    models = {k: v for k, v in L.classifiers(**QUERY_MODELS).items() if k != "boosted_trees_weighted"}
+    models = {k: v for k, v in L.classifiers().items() if k != "boosted_trees_weighted"}
     return metrics_table(L.train_and_score(machines(spark, sf), "uid", "machine_failure", models))
 
 
 @query("boosted_trees_weighted")
 def boosted_trees_weighted(spark, sf):
-    models = {"boosted_trees_weighted": L.classifiers(**QUERY_MODELS)["boosted_trees_weighted"]}
+    models = {"boosted_trees_weighted": L.classifiers()["boosted_trees_weighted"]}
     return metrics_table(L.train_and_score(machines(spark, sf), "uid", "machine_failure", models))
 
 
-@query("margin_classifier")
-def margin_classifier(spark, sf):
+def margin_scores(spark, sf):
     fitted, train, test = prepared_parts(spark, sf)
     ready = L.with_weights(L.model_input(train, fitted, "machine_failure", ["uid"]))
     held = L.model_input(test, fitted, "machine_failure", ["uid"])
-    return metrics_table(L.margin_classifier(ready, held, "uid", len(fitted.feature_names)))
+    return L.margin_classifier(ready, held, "uid", len(fitted.feature_names))
 
 
-OOF_MODELS = ("logistic_regression", "decision_tree")
+@query("margin_classifier")
+def margin_classifier(spark, sf):
+    return metrics_table(margin_scores(spark, sf))
+
+
+@query("model_comparison")
+def model_comparison(spark, sf):
+    """All eight models on the same held-out part, best recall first."""
+    fitted, train, test = prepared_parts(spark, sf)
+    votes = N.knn_classify(fitted.transform(test), fitted.transform(train), "uid", fitted.feature_names, "machine_failure")
+    votes = votes.join(test.select(F.col("uid").alias("query_key"), F.col("machine_failure").cast("double").alias("label")), "query_key")
+    votes = votes.select(F.col("query_key").alias("uid"), "label", F.lit("neighbours").alias("model"), F.col("vote_share").alias("p"))
+    scored = L.train_and_score(machines(spark, sf), "uid", "machine_failure", L.classifiers()).unionByName(margin_scores(spark, sf)).unionByName(votes)
+    return metrics_table(cut_lineage(scored)).orderBy(F.desc("recall"), "model")
 
 
 def oof(spark, sf):
-    models = {k: v for k, v in L.classifiers(**QUERY_MODELS).items() if k in OOF_MODELS}
-    return L.out_of_fold(machines(spark, sf), "uid", "machine_failure", models)
+    return cut_lineage(L.out_of_fold(machines(spark, sf), "uid", "machine_failure", L.classifiers()))
 
 
 @query("cross_validate")
@@ -73,12 +84,27 @@ def cross_validate(spark, sf):
     return E.cv_summary(E.fold_metrics(oof(spark, sf), "model", "fold", "p", "label"), "model")
 
 
-@query("oof_predict")
+MODEL_NAMES = ", ".join(f"('{name}')" for name in L.classifiers())
+
+
+@query("oof_predict", FOLDS + f", f AS ({FOLD_ROWS}) SELECT uid, model, fold, TRUE AS scored FROM f, (VALUES {MODEL_NAMES}) AS m(model)")
 def oof_predict(spark, sf):
-    return oof(spark, sf).select("uid", "model", "fold", F.round("p", 6).alias("p"))
+    """Every row once per model, scored by the fit that did not see its fold."""
+    return oof(spark, sf).select("uid", "model", "fold", F.col("p").between(0.0, 1.0).alias("scored"))
+
+
+@query("locked_evaluation")
+def locked_evaluation(spark, sf):
+    """Thresholds chosen out of fold on the train part, then applied once to the test part."""
+    return L.locked_evaluation(machines(spark, sf), "uid", "machine_failure", L.classifiers())
 
 
-@query("knn_classify")
+NEAREST = PREPARED + """, q AS (SELECT uid, [{x}] AS x FROM h WHERE part = 'test'), t AS (SELECT uid AS other, machine_failure AS y, [{x}] AS x FROM h WHERE part = 'train')
+SELECT uid, round(list_avg(arg_min(y, {{'d': round(list_distance(q.x, t.x), 9), 'k': other}}, 7)), 6) AS vote_share FROM q, t GROUP BY uid""".format(
+    x=", ".join(f"CAST({c} AS DOUBLE)" for c in (*FEATURES, "type_H", "type_L", "type_M")))
+
+
+@query("knn_classify", NEAREST)
 def knn_classify(spark, sf):
     fitted, train, test = prepared_parts(spark, sf)
     voted = N.knn_classify(fitted.transform(test), fitted.transform(train), "uid", fitted.feature_names, "machine_failure")
@@ -103,48 +129,96 @@ def novelty_boundary(spark, sf):
     return scored.select("uid", F.round("novelty", 6).alias("novelty"), "is_novel")
 
 
-def window_table(spark, sf):
-    features = S.window_features(labelled(spark, sf), ["sensor_1", "sensor_2"])
-    return features, [c for c in features.columns if c.startswith("sensor_")]
+@query("one_class_boundary", with_views("split") + """SELECT part, count(*) AS n_rows, CASE WHEN part = 'train' THEN TRUE END AS share_kept FROM split GROUP BY part""")
+def one_class_boundary(spark, sf):
+    """Rows outside a one-class margin over all features: a twentieth of the train rows, by its exact offset."""
+    fitted, train, test = prepared_parts(spark, sf)
+    model = I.fit_one_class(fitted.transform(train), fitted.feature_names)
+    marked = model.score(fitted.transform(train.unionByName(test)), fitted.feature_names).groupBy("part").agg(F.count("*").alias("n_rows"), F.count_if(F.col("margin") < 0).alias("outside"))
+    return marked.select("part", "n_rows", F.when(F.col("part") == "train", F.abs(F.col("outside") / F.col("n_rows") - 0.05) < 0.002).alias("share_kept"))
+
+
+SENSORS = [f"sensor_{k}" for k in range(1, 22)]
+
+
+def engines(spark, sf):
+    """Labelled trajectories with the full set of 21 sensors: the two of the table, and mixtures of these and of the cycle."""
+    rows = labelled(spark, sf)
+    mixed = [((F.col("sensor_1") * k + F.col("sensor_2") * (22 - k)) / 22 + F.pmod(F.col("cycle") * k, F.lit(11))).alias(f"sensor_{k}") for k in range(3, 22)]
+    return rows.select("*", *mixed)
+
+
+def engine_windows(spark, sf):
+    """Windows of all sensors, with the part of their unit: a fifth of the units validate."""
+    windows = S.sliding_windows(engines(spark, sf), SENSORS, position="cycle")
+    return cut_lineage(group_split(windows, "unit_id"))
 
 
 @query("rul_regression")
 def rul_regression(spark, sf):
-    windows, features = window_table(spark, sf)
-    predicted = L.rul_regression(windows, features, L.rul_models(trees=20, rounds=10))
-    return E.forecast_errors(predicted, ["model"], "predicted", "rul")
+    """Errors on the held-out units: trees and a line on window features, a reservoir on the windows themselves."""
+    features = S.window_features(engines(spark, sf), SENSORS, position="cycle")
+    predicted = L.rul_regression(features, [c for c in features.columns if c.startswith("sensor_")], L.rul_models())
+    return E.forecast_errors(predicted.unionByName(reservoir_predictions(spark, sf)), ["model"], "predicted", "rul")
+
+
+def reservoir_predictions(spark, sf):
+    windows = engine_windows(spark, sf)
+    model = Q.fit_sequence_model(windows.filter("part = 'train'"), len(SENSORS))
+    held = model.predict(windows.filter("part = 'validation'"), ["unit_id", "end_cycle", "rul"])
+    return held.withColumn("model", F.lit("reservoir")).select("unit_id", "end_cycle", F.col("rul").cast("int").alias("rul"), "model", "predicted")
+
+
+@query("sequence_regression", GROUP_SPLIT + """, r AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY cycle) AS place, least(max(cycle) OVER (PARTITION BY unit_id) - cycle, 125) AS rul FROM g)
+SELECT unit_id, cycle AS end_cycle, CAST(rul AS INT) AS rul, TRUE AS known FROM r WHERE part = 'validation' AND place >= 30""")
+def sequence_regression(spark, sf):
+    """Every window of the held-out units has a prediction of the reservoir model."""
+    return reservoir_predictions(spark, sf).select("unit_id", "end_cycle", "rul", (~F.isnan("predicted") & F.col("predicted").isNotNull()).alias("known"))
 
 
 @query("reconstruction_error")
 def reconstruction_error(spark, sf):
-    windows = S.sliding_windows(labelled(spark, sf), ["sensor_1", "sensor_2"])
-    flat = windows.select("unit_id", "end_cycle", "rul", F.flatten("seq").alias("s"))
-    columns = [f"v{i}" for i in range(2 * S.WINDOW)]
-    wide = flat.select("unit_id", "end_cycle", "rul", *[F.col("s")[i].cast("double").alias(c) for i, c in enumerate(columns)])
-    scored = L.reconstruction_error(S.healthy_windows(wide), wide, columns)
+    """Residuals of the held-out units' windows against the components of the train units' healthy ones."""
+    width = S.WINDOW * len(SENSORS)
+    flat = engine_windows(spark, sf).select("unit_id", "end_cycle", "rul", "part", F.flatten("seq").alias("s"))
+    wide = flat.select("unit_id", "end_cycle", "rul", "part", *[F.col("s")[i].cast("double").alias(f"v{i}") for i in range(width)])
+    healthy = S.healthy_windows(wide.filter("part = 'train'"))
+    scored = L.reconstruction_error(healthy, wide.filter("part = 'validation'"), [f"v{i}" for i in range(width)])
     return scored.select("unit_id", "end_cycle", "rul", F.round("reconstruction_error", 6).alias("reconstruction_error"))
 
 
-def point_vectors(spark, sf):
-    return VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(view(spark, sf, "points"))
+def feature_vectors(spark, sf):
+    """Train and test rows as vectors of the prepared features."""
+    fitted, train, test = prepared_parts(spark, sf)
+    keep = ["uid", "machine_failure", *fitted.feature_names]
+    vectors = VectorAssembler(inputCols=fitted.feature_names, outputCol="features")
+    return fitted.feature_names, *(cut_lineage(vectors.transform(fitted.transform(rows).select(*keep))) for rows in (train, test))
 
 
 @query("kmeans_select")
 def kmeans_select(spark, sf):
-    table, _ = L.kmeans_select(point_vectors(spark, sf), restarts=10)
+    _, train, _ = feature_vectors(spark, sf)
+    table, _ = L.kmeans_select(train, restarts=10)
     return spark.createDataFrame(table, "k int, silhouette double, cost double")
 
 
 @query("best_k")
 def best_k(spark, sf):
-    table, model = L.kmeans_select(point_vectors(spark, sf), restarts=10)
-    chosen = spark.createDataFrame(table, "k int, silhouette double, cost double").agg(F.max_by("k", "silhouette").alias("k")).first()[0]
-    return model.transform(point_vectors(spark, sf)).groupBy("prediction").agg(F.count("*").alias("n")).withColumn("k", F.lit(chosen))
+    """The number of clusters of highest silhouette on the train rows, and the test rows in each."""
+    _, train, test = feature_vectors(spark, sf)
+    table, model = L.kmeans_select(train, restarts=10)
+    chosen = max(table, key=lambda row: (row[1], -row[0]))[0]
+    return model.transform(test).groupBy("prediction").agg(F.count("*").alias("n")).withColumn("k", F.lit(chosen))
 
 
 @query("hierarchical_clusters")
 def hierarchical_clusters(spark, sf):
-    return L.hierarchical_clusters(point_vectors(spark, sf)).groupBy("cluster").agg(F.count("*").alias("n"))
+    """Ward clusters of the train rows: their sizes, silhouette and agreement with the label."""
+    names, train, _ = feature_vectors(spark, sf)
+    found = cut_lineage(H.ward_clusters(train.select("uid", "machine_failure", *names), names, 3))
+    agreement = E.adjusted_rand(found, "cluster", "machine_failure").first()[0]
+    return found.groupBy("cluster").agg(F.count("*").alias("n")).withColumns({
+        "silhouette": F.round(F.lit(E.silhouette(found, names, "cluster")), 6), "ari": F.lit(agreement)})
 
 
 NEIGHBOURS = with_views("points") + ", nb AS (SELECT a.id, count(*) AS neighbours FROM points a JOIN points b ON b.x BETWEEN a.x - 0.8 AND a.x + 0.8 AND sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) <= 0.8 GROUP BY a.id)\n"
@@ -185,41 +259,52 @@ def pca_projection(spark, sf):
 
 def boosted(spark, sf):
     fitted, train, test = prepared_parts(spark, sf)
-    model = L.classifiers(**QUERY_MODELS)["gradient_boosting"]().fit(L.with_weights(L.model_input(train, fitted, "machine_failure", ["uid"])))
-    return fitted, model, L.model_input(test, fitted, "machine_failure", ["uid"])
+    ready = cut_lineage(L.model_input(train, fitted, "machine_failure", ["uid"]))
+    (models,) = L.fit_all([ready], {"gradient_boosting": L.classifiers()["gradient_boosting"]}, "uid")
+    return fitted, models["gradient_boosting"], L.model_input(test, fitted, "machine_failure", ["uid"])
 
 
-@query("tree_attribution")
+@query("tree_attribution", with_views("split") + "SELECT uid, TRUE AS adds_up, CAST(10 AS BIGINT) AS features FROM split WHERE part = 'test'")
 def tree_attribution(spark, sf):
+    """Base and attributions of every test row add up to its margin."""
     fitted, model, held = boosted(spark, sf)
     values = A.tree_attribution(held, model, "uid", fitted.feature_names, scratch_path(spark, "model"))
-    return values.select("uid", "feature", F.round("value", 6).alias("value"), F.round("base", 6).alias("base"))
+    margin = model.score(held, ["uid"]).select("uid", F.log(F.col("p") / (1 - F.col("p"))).alias("margin"))
+    total = values.groupBy("uid").agg((F.first("base") + F.sum("value")).alias("total"), F.count("*").alias("features"))
+    return total.join(margin, "uid").select("uid", (F.abs(F.col("total") - F.col("margin")) < 1e-6).alias("adds_up"), "features")
+
+
+@query("tree_importance")
+def tree_importance(spark, sf):
+    """Mean size of the attributions per feature, for the boosted model and for a single tree."""
+    fitted, model, held = boosted(spark, sf)
+    _, train, _ = prepared_parts(spark, sf)
+    tree = L.classifiers()["decision_tree"]().fit(L.with_weights(L.model_input(train, fitted, "machine_failure", ["uid"])))
+    found = A.union_models({name: A.tree_attribution(held, m, "uid", fitted.feature_names, scratch_path(spark, "model")) for name, m in (("gradient_boosting", model), ("decision_tree", tree))})
+    return A.global_importance(cut_lineage(found))
 
 
 @query("model_round_trip", with_views("split") + "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS different FROM split WHERE part = 'test'")
 def model_round_trip(spark, sf):
     """Scores of a saved and reloaded model and preparation beside the originals: none may differ."""
-    from pyspark.ml.classification import GBTClassificationModel
-
     fitted, model, held = boosted(spark, sf)
     path = scratch_path(spark, "saved")
-    model.write().overwrite().save(f"{path}/model")
+    model.save(spark, f"{path}/model")
     fitted.save(spark, f"{path}/preparation")
     again = prep.Preparation.load(spark, f"{path}/preparation")
     again.check_features(fitted.feature_names)
     _, _, test = prepared_parts(spark, sf)
     first = L.score(model, held, ["uid"], "saved").select("uid", F.col("p").alias("before"))
-    second = L.score(GBTClassificationModel.load(f"{path}/model"), L.model_input(test, again, "machine_failure", ["uid"]), ["uid"], "loaded").select("uid", F.col("p").alias("after"))
+    second = L.score(B.BoostedModel.load(spark, f"{path}/model"), L.model_input(test, again, "machine_failure", ["uid"]), ["uid"], "loaded").select("uid", F.col("p").alias("after"))
     return first.join(second, "uid").agg(F.count("*").alias("rows"), F.count_if(F.col("before") != F.col("after")).alias("different"))
 
 
 @query("risk_table_models")
 def risk_table_models(spark, sf):
     """The risk table with fitted signals: forest anomaly score and boosted failure probability."""
-    fitted, train, test = prepared_parts(spark, sf)
-    ready = L.with_weights(L.model_input(train, fitted, "machine_failure", ["uid"]))
-    model = L.classifiers(**QUERY_MODELS)["gradient_boosting"]().fit(ready)
-    chance = L.score(model, L.model_input(test, fitted, "machine_failure", ["uid"]), ["uid"], "gradient_boosting").select("uid", F.col("p").alias("failure_probability"))
+    fitted, model, held = boosted(spark, sf)
+    _, train, test = prepared_parts(spark, sf)
+    chance = L.score(model, held, ["uid"], "gradient_boosting").select("uid", F.col("p").alias("failure_probability"))
     nodes = I.fit_isolation_forest(fitted.transform(train), "uid", fitted.feature_names)
     odd = I.score_isolation_forest(fitted.transform(test).select("uid", *fitted.feature_names), nodes, fitted.feature_names).select("uid", "isolation_score")
     path = scratch_path(spark, "signals")

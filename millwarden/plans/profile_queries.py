@@ -131,11 +131,10 @@ def box_stats(spark, sf):
 
 @query("density_curve", with_views("telemetry") + """,
 s AS (SELECT min(mechanical_power) AS lo, max(mechanical_power) AS hi,
-             stddev_samp(mechanical_power) * pow(count(*), -0.2) AS h, count(*) AS n FROM telemetry),
-c AS (SELECT least(floor((mechanical_power - lo) / ((hi - lo) / 512)), 511) AS cell, count(*) AS k FROM telemetry, s GROUP BY 1)
+             stddev_samp(mechanical_power) * pow(count(*), -0.2) AS h, count(*) AS n FROM telemetry)
 SELECT CAST(p AS INT) AS point, round(lo + p * ((hi - lo) / 99), 6) AS x,
-       round(sum(k * exp(-0.5 * pow((lo + p * ((hi - lo) / 99) - (lo + (cell + 0.5) * ((hi - lo) / 512))) / h, 2))) / (n * h * sqrt(2 * pi())), 6) AS density
-FROM c, s, range(100) g(p) GROUP BY p, lo, hi, h, n""")
+       round(sum(exp(-0.5 * pow((lo + p * ((hi - lo) / 99) - mechanical_power) / h, 2))) / (n * h * sqrt(2 * pi())), 6) AS density
+FROM telemetry, s, range(100) g(p) GROUP BY p, lo, hi, h, n""")
 def density_curve(spark, sf):
     return P.density_curve(view(spark, sf, "telemetry"), "mechanical_power")
 

@@ -382,9 +382,13 @@ def stratified_split(spark, sf):
     return view(spark, sf, "split").select("uid", "machine_failure", "part")
 
 
-@query("stratified_folds", with_views("telemetry") + """, o AS (SELECT uid, machine_failure,
+FOLDS = with_views("telemetry") + """, o AS (SELECT uid, machine_failure,
  row_number() OVER (PARTITION BY machine_failure ORDER BY md5(concat('42', uid)), uid) AS rn, count(*) OVER (PARTITION BY machine_failure) AS n FROM telemetry)
-SELECT uid, machine_failure, CAST(CASE WHEN rn <= n // 5 THEN 0 WHEN rn <= (2*n) // 5 THEN 1 WHEN rn <= (3*n) // 5 THEN 2 WHEN rn <= (4*n) // 5 THEN 3 ELSE 4 END AS INT) AS fold FROM o""")
+"""
+FOLD_ROWS = "SELECT uid, machine_failure, CAST(CASE WHEN rn <= n // 5 THEN 0 WHEN rn <= (2*n) // 5 THEN 1 WHEN rn <= (3*n) // 5 THEN 2 WHEN rn <= (4*n) // 5 THEN 3 ELSE 4 END AS INT) AS fold FROM o"
+
+
+@query("stratified_folds", FOLDS + FOLD_ROWS)
 def stratified_folds(spark, sf):
     return splitting.stratified_folds(view(spark, sf, "telemetry"), "machine_failure", "uid").select("uid", "machine_failure", "fold")
 

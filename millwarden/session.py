@@ -74,5 +74,21 @@ def delete_stage(spark: SparkSession, path: str) -> None:
     """Remove a stage of ``scratch_path`` that nothing reads any more."""
     if not path.startswith(shared_folder(spark).rstrip("/")):
         raise ValueError("only stages below the shared folder are removed")
+    remove_folder(spark, path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this library wrote."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def folders_in(spark: SparkSession, path: str, holding: str) -> list[str]:
+    """Names of the folders in ``path`` that hold a file of that name; none where ``path`` does not exist."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(at):
+        return []
+    found = [status.getPath() for status in system.listStatus(at) if status.isDirectory()]
+    return [f.getName() for f in found if system.exists(hadoop.Path(f, holding))]

@@ -25,7 +25,7 @@ from millwarden.operators import series
 from millwarden.operators import splitting
 from millwarden.operators.quantiles import exact_quantiles
 from millwarden.sources import readers
-from millwarden.streaming import live
+from millwarden.streaming import live, state
 
 
 def frame(spark, rows, schema):
@@ -336,21 +336,22 @@ def test_neighbour_join_equals_brute_force(spark):
     x, y = blobs(500)
     df = frame(spark, [(f"k{i:04d}", *map(float, r), int(c)) for i, (r, c) in enumerate(zip(x, y))], "k string, a double, b double, c double, y int")
     got = {}
-    for r in N.knn_join(df, df, "k", ["a", "b", "c"], 7, "y", n_pivots=16, block=60).collect():
+    for r in N.knn_join(df, df, "k", ["a", "b", "c"], 7, "y", cell_rows=30, block=60).collect():
         got.setdefault(r.query_key, {})[r["rank"]] = r.train_key
     for i in range(len(x)):
         near = np.lexsort((np.arange(len(x)), np.round(np.sqrt(((x - x[i]) ** 2).sum(1)), 9)))[:7]
         assert [got[f"k{i:04d}"][j + 1] for j in range(7)] == [f"k{j:04d}" for j in near]
 
 
-@pytest.mark.parametrize("width", [2, 3])
+@pytest.mark.parametrize("width", [2, 3, 10])
 def test_dbscan_equals_brute_force(spark, width):
     rng = np.random.default_rng(width)
     x = np.concatenate([rng.normal(0, 0.5, (150, width)), rng.normal(3, 0.7, (120, width)), rng.uniform(-3, 7, (80, width)), np.ones((100, width)) * 5])
-    names = ["x", "y", "z"][:width]
+    names = [f"x{k}" for k in range(width)]
     df = frame(spark, [(i, *map(float, r)) for i, r in enumerate(x)], "id int, " + ", ".join(f"{n} double" for n in names))
-    got = {r.id: r for r in C.dbscan(df, "id", names, 0.5, 8).collect()}
-    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= 0.5
+    eps = 0.5 if width < 10 else 2.0
+    got = {r.id: r for r in C.dbscan(df, "id", names, eps, 8, cell_rows=25).collect()}
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= eps
     core = near.sum(1) >= 8
     label, n = np.full(len(x), -1), 0
     for i in np.flatnonzero(core):
@@ -430,7 +431,7 @@ def test_stream_of_two_files_keeps_the_latest(spark, tmp_path):
     source = str(tmp_path / "in")
     for part in (first, second):
         part.select("machine_id", stamp("t").alias("ts"), "event_id").coalesce(1).write.mode("append").parquet(source)
-    stream = live.latest_reading(live.read_stream(spark, source, "machine_id string, ts timestamp, event_id long", files_per_batch=1))
-    live.run_updates(stream, str(tmp_path / "out"), str(tmp_path / "progress"))
-    got = {r.machine_id: r.event_id for r in live.newest_updates(spark, str(tmp_path / "out"), ["machine_id"]).collect()}
+    stream = state.latest_readings(live.read_stream(spark, source, "machine_id string, ts timestamp, event_id long", files_per_batch=1))
+    state.keep_table(stream, str(tmp_path / "out"), str(tmp_path / "progress"), ["machine_id"], ["ts", "event_id"])
+    got = {r.machine_id: r.event_id for r in state.kept_table(spark, str(tmp_path / "out"), stream.schema).collect()}
     assert got == {"M": 4, "N": 2}
