@@ -22,6 +22,16 @@ CUT = re.compile(f" (?<={_PLAIN} )(?={_PLAIN})")
 SEGMENT, HELD = 1 << 16, 400_000
 
 
+_SAFE = frozenset(chr(c) for c in range(0x250) if re.fullmatch(_PLAIN, chr(c))) | {" ", "\n"}
+
+
+def words_of(text: str) -> list[str]:
+    """The text cut at all safe spaces; by a plain split where every space of it is one."""
+    if text and _SAFE.issuperset(text) and "  " not in text and " \n" not in text and "\n " not in text and text[0] != " " and text[-1] != " ":
+        return text.split(" ")
+    return CUT.split(text)
+
+
 def segments(text: str, size: int = SEGMENT) -> Iterator[tuple[str, bool]]:
     """Parts of about ``size`` characters and whether a part opens the text.  A stretch without a safe cut stays whole."""
     start = 0
@@ -40,6 +50,14 @@ _WHOLE = re.compile(f"{_PLAIN}+")
 Ids = tuple[np.ndarray, np.ndarray]
 
 
+#: Letters among the plain signs, and what the vocabularies' patterns cut a word of plain signs and single line feeds into: runs
+#: that are encoded one by one, whatever stands beside them.
+_LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
+_RUNS = re.compile(f"{_PLAIN}+(?:\n{_PLAIN}+)*")
+_RUN = f"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[0-9]{{}}|[^{_LETTER}0-9\n]+"
+_SPACED_RUN, _BARE_RUN = re.compile(_RUN.format("+") + "|\n"), re.compile(_RUN.format(""))
+
+
 class Vocabulary:
     """A vocabulary file and its library.  Lists of words are encoded in few calls: a call costs more than a word.
 
@@ -56,7 +74,7 @@ class Vocabulary:
             self.call = lambda batch: model.encode(batch, num_threads=1)
             self.mark, self.between, self.mark_id = "\n", "\n ", model.piece_to_id("<0x0A>")
             self.opens = np.array([model.id_to_piece(k).startswith("\u2581") for k in range(model.get_piece_size())])
-            self.closes, self.space = None, ""
+            self.closes, self.space, self.special = None, "", None
             return
         import os
 
@@ -70,6 +88,7 @@ class Vocabulary:
         self.mark = self.between = "<|endoftext|>"
         self.mark_id, self.space = model.token_to_id(self.mark), " "
         self.between += " "
+        self.special = re.compile("|".join(re.escape(t.content) for t in model.get_added_tokens_decoder().values()))
         tokens = [model.id_to_token(k) or "" for k in range(model.get_vocab_size())]
         closes = np.array([t.endswith("</w>") for t in tokens])
         self.closes = closes if closes.any() else None
@@ -79,7 +98,28 @@ class Vocabulary:
         return np.asarray(self.call([text])[0], dtype="<u4")
 
     def plain(self, word: str) -> bool:
-        return _WHOLE.fullmatch(word) is not None and self.mark not in word and (self.closes is None or word.lower().isalpha())
+        return _WHOLE.fullmatch(word) is not None and self.mark not in word
+
+    def runs(self, word: str) -> list[str] | None:
+        """The runs of a word that stands inside a text, the first with the space before it where it counts; none where the patterns may cut otherwise."""
+        if self.special is None or self.special.search(word):
+            return None
+        if self.closes is not None:
+            word = word.lower()
+            return _BARE_RUN.findall(word) if _RUNS.fullmatch(word) else None
+        # After a space a quotation mark opens a run of marks, not a contraction.
+        if word[:1] == "'" or not _RUNS.fullmatch(word):
+            return None
+        found = _SPACED_RUN.findall(word)
+        found[0] = " " + found[0]
+        return found
+
+    def of_runs(self, runs: list[str]) -> Ids:
+        """Runs that all have a space before them, or all none, or where spaces are dropped."""
+        if self.closes is not None or runs[0][0] == " ":
+            return self.joined([r.lstrip(" ") for r in runs])
+        ids = self.one(self.mark.join(runs))
+        return self._between_marks(ids)
 
     def joined(self, words: list[str]) -> Ids:
         """Plain words that stand inside a text."""
@@ -90,7 +130,9 @@ class Vocabulary:
 
     def marked(self, words: list[str]) -> Ids:
         """Words without the mark that stand inside a text."""
-        ids = self.one(self.space + self.between.join(words))
+        return self._between_marks(self.one(self.space + self.between.join(words)))
+
+    def _between_marks(self, ids: np.ndarray) -> Ids:
         at = ids == self.mark_id
         places = np.flatnonzero(at)
         return ids[~at], np.concatenate([[0], places - np.arange(len(places)), [len(ids) - len(places)]])
@@ -102,46 +144,69 @@ def as_bytes(ids: np.ndarray) -> bytes:
 
 
 class WordTable:
-    """The ids (as bytes) of each distinct word.  Words of this generation and the last are held; older ones go."""
+    """The ids (as bytes) of each distinct word, and of the runs that words are made of.  Those of this generation and the last are held; older ones go."""
 
     def __init__(self, path: str, held: int = HELD):
         self.vocabulary, self.held = Vocabulary(path), held
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        self.old_runs: dict[str, bytes] = {}
 
     def _learn(self, words: set[str]) -> None:
         if len(self.young) > self.held:
             self.young, self.old = {}, self.young
-        plain, marked, v = [], [], self.vocabulary
+        if len(self.runs) > self.held:
+            self.runs, self.old_runs = {}, self.runs
+        plain, marked, pending, spaced, bare, v = [], [], [], set(), set(), self.vocabulary
         for w in words:
-            if w not in self.young:
-                value = self.old.get(w)
-                if value is not None:
-                    self.young[w] = value
-                elif v.plain(w):
-                    plain.append(w)
-                elif w and v.mark not in w:
-                    marked.append(w)
-                else:
-                    self.young[w] = as_bytes(v.one(v.space + w if w else ""))
-        for new, encode in ((plain, v.joined), (marked, v.marked)):
+            value = self.old.get(w)
+            if value is not None:
+                self.young[w] = value
+                continue
+            runs = v.runs(w)
+            if runs:
+                pending.append((w, runs))
+                for r in runs:
+                    if r not in self.runs:
+                        value = self.old_runs.get(r)
+                        if value is not None:
+                            self.runs[r] = value
+                        else:
+                            (spaced if v.closes is not None or r[0] == " " else bare).add(r)
+            elif v.closes is None and w and v.plain(w):
+                plain.append(w)
+            elif w and v.mark not in w:
+                marked.append(w)
+            else:
+                self.young[w] = as_bytes(v.one(v.space + w if w else ""))
+        for new, encode, into in ((list(spaced), v.of_runs, self.runs), (list(bare), v.of_runs, self.runs), (plain, v.joined, self.young), (marked, v.marked, self.young)):
             for at in range(0, len(new), 4096):
                 some = new[at : at + 4096]
                 ids, bounds = encode(some)
                 if len(bounds) != len(some) + 1:
                     raise ValueError("words and their ids do not match")
                 bounds = bounds.tolist()
-                self.young.update(zip(some, (as_bytes(ids[a:b]) for a, b in zip(bounds, bounds[1:]))))
+                into.update(zip(some, (as_bytes(ids[a:b]) for a, b in zip(bounds, bounds[1:]))))
+        ids_of = self.runs.__getitem__
+        for w, runs in pending:
+            self.young[w] = b"".join(map(ids_of, runs))
 
     def values(self, parts: Sequence[tuple[str, bool]]) -> list[list[bytes]]:
         """Per part (text, opens its document) the ids of its words."""
-        cut = [CUT.split(text) for text, _ in parts]
+        cut = [words_of(text) for text, _ in parts]
         # The first word of a document has no space before it.
         openers = [words.pop(0) if first and self.vocabulary.space else None for words, (_, first) in zip(cut, parts)]
         opened = {w: as_bytes(self.vocabulary.one(w)) for w in openers if w is not None}
-        self._learn(set().union(*cut))
-        found = self.young.__getitem__
-        return [([] if w is None else [opened[w]]) + list(map(found, words)) for w, words in zip(openers, cut)]
+        known = self.young.get
+        out = [list(map(known, words)) for words in cut]
+        short = [k for k, found in enumerate(out) if None in found]
+        if short:
+            self._learn({w for k in short for w, ids in zip(cut[k], out[k]) if ids is None})
+            learnt = self.young
+            for k in short:
+                out[k] = [learnt[w] if ids is None else ids for w, ids in zip(cut[k], out[k])]
+        return [found if w is None else [opened[w], *found] for w, found in zip(openers, out)]
 
 
 #: Tables of this Python worker: tasks that it runs later start with the words that earlier ones met.
