@@ -1,9 +1,11 @@
 """Benchmark decontamination by template windows.
 
-Names (capitalised words inside a sentence), numbers and units after numbers become typed slots; the rest is lower-cased words.
-Windows of WINDOW template words of the benchmark items are hash-joined to those of the texts.  Matches of an item and a text at
-one offset are put together; where they cover LEAST words, or the whole of a shorter item, the slots are compared: a value of the
-item must stand for one value in the text throughout.  So a question with other numbers is found, a chance match of frames is not.
+Names (capitalised words, wherever they stand), numbers and units after numbers become typed slots; the rest is lower-cased words.
+Windows of WINDOW template words of the benchmark items are hash-joined to those of the texts, once with names as slots and once
+with names as plain words: so neither what stands before a copy nor its letter case matters, nor do other names.  Matches of an
+item and a text at one offset are put together; where they cover LEAST words, or the whole of a shorter item, the slots are
+compared: a value of the item must stand for one value in the text throughout.  So a question with other numbers or names is
+found, a chance match of frames is not.
 
 Windows of the benchmark need LITERAL words that are no slots.  The windows of an item shorter than WINDOW are the item itself.
 Texts are told apart by their md5; all rows of a text share its verdict.
@@ -28,65 +30,100 @@ NAME, NUMBER, UNIT = "\ue001", "\ue002", "\ue003"
 UNITS = ("mm cm m km in ft yd mi mg g kg t lb oz ml l gal s ms min h hr hrs day days week weeks month months year years hour hours minute minutes second seconds "
          "mph kmh hz khz mhz ghz w kw mw v kv a ma j kj cal kcal pa kpa bar k c f percent usd eur gbp dollars dollar euros euro pounds cents kb mb gb tb meters "
          "metres kilometers kilometres miles feet inches kilograms grams liters litres degrees").split()
-_AFTER = r"([\p{Ll},;:] )(\p{Lu}\p{L}*)"
+_NAMED = r"(^|[^\p{L}])(\p{Lu}\p{L}*)"
+#: Copies of a side that is joined to a hot one, beyond what is broadcast.
+SALTS = 16
 
 
 def valued(text: Column) -> Column:
     """Words of a text, a slot as its mark and its value."""
     out = F.coalesce(text.cast("string"), F.lit(""))
     out = F.regexp_replace(out, "[\ue001-\ue003]", " ")
-    for _ in range(2):  # a second pass takes names that follow a name
-        out = F.regexp_replace(out, _AFTER, f"$1{NAME}$2")
+    out = F.regexp_replace(out, _NAMED, f"$1{NAME}$2")
     out = F.regexp_replace(F.lower(out), "([0-9]+)", f" {NUMBER}$1 ")
     out = F.regexp_replace(out, r"[^\p{L}\p{N}" + "\ue001-\ue003]+", " ")
-    out = F.regexp_replace(out, f"({NUMBER}[0-9]+) ({'|'.join(UNITS)})( |$)", f"$1 {UNIT}$2$3")
+    out = F.regexp_replace(out, f"({NUMBER}[0-9]+) {NAME}?({'|'.join(UNITS)})( |$)", f"$1 {UNIT}$2$3")
     trimmed = F.trim(out)
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, " "))
 
 
-def template(words: Column) -> Column:
+def framed(word: Column, names: bool) -> Column:
+    """A word, a slot without its value; a name is a slot only if ``names``."""
+    mark = word.substr(1, 1)
+    slots = [NAME, NUMBER, UNIT] if names else [NUMBER, UNIT]
+    out = F.when(mark.isin(*slots), mark)
+    return (out if names else out.when(mark == NAME, F.substring(word, 2, 1 << 30))).otherwise(word)
+
+
+def template(words: Column, names: bool = True) -> Column:
     """The words with slots emptied of their values."""
-    return F.transform(words, lambda w: F.when(w.substr(1, 1).isin(NAME, NUMBER, UNIT), w.substr(1, 1)).otherwise(w))
+    return F.transform(words, lambda w: framed(w, names))
+
+
+def _beside(hashes: Column, step: int) -> Column:
+    """Hash of each entry and the one ``step`` further, where there is one."""
+    count = F.greatest(F.size(hashes) - step, F.lit(0))
+    return F.slice(F.zip_with(hashes, F.slice(hashes, step + 1, count), lambda a, b: F.xxhash64(a, b)), 1, count)
+
+
+def _hashes(words: Column, n: int, names: bool) -> Column:
+    """Hash of each window of ``n`` words, by its place: of halves, of halves of these, and of single words where n is odd."""
+    def of(h: Column, n: int, then) -> Column:
+        if n == 1:
+            return then(h)
+        if n % 2 == 0:
+            return of(h, n // 2, lambda half: bind(half, lambda x: then(_beside(x, n // 2))))
+        count = F.greatest(F.size(h) - (n - 1), F.lit(0))
+        return of(h, n - 1, lambda most: then(F.slice(F.zip_with(most, F.slice(h, n, count), lambda a, b: F.xxhash64(a, b)), 1, count)))
+
+    single = F.transform(words, lambda w: F.xxhash64(framed(w, names)))
+    return bind(single, lambda h: of(h, n, lambda x: x))
 
 
 def _windows(words: Column, sizes: list[int]) -> Column:
-    """(size, place, hash) of all windows of the sizes."""
-    def of_size(h: Column, n: int) -> Column:
-        starts = F.when(F.size(h) >= n, F.sequence(F.lit(0), F.greatest(F.size(h) - n, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(i.alias("place"), F.xxhash64(F.lit(n), *(F.get(h, i + k) for k in range(n))).alias("hash")))
+    """(place, hash) of all windows of the sizes, with names as slots and as words."""
+    def placed(n: int, names: bool) -> Column:
+        return F.transform(_hashes(words, n, names), lambda x, i: F.struct(i.alias("place"), F.xxhash64(F.lit(n), x).alias("hash")))
+
+    return F.concat(*(placed(n, names) for n in sizes for names in (True, False)))
 
-    def of(h: Column) -> Column:
-        return F.concat(*(of_size(h, n) for n in sizes))
 
-    return bind(F.transform(words, lambda w: F.xxhash64(F.when(w.substr(1, 1).isin(NAME, NUMBER, UNIT), w.substr(1, 1)).otherwise(w))), of)
+def _joined(rows: DataFrame, few: DataFrame, on: str, small: bool, by: str) -> DataFrame:
+    """Join with a broadcast table, or one whose rows are copied so that a hot value's rows, dealt by ``by``, go to many tasks."""
+    if small:
+        return rows.join(F.broadcast(few), on)
+    copied = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(copied, [on, "_salt"]).drop("_salt")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(text_hash, item, words covered, slots, exact) of each text and benchmark item that it gives away."""
     items = benchmark.select(F.col(item).alias("item"), valued(F.col(item_text)).alias("item_words")).filter(F.size("item_words") >= LITERAL).distinct()
-    items = cut_lineage(items.withColumn("item_template", template(F.col("item_words"))))
+    items = cut_lineage(items)
     sizes = sorted(r[0] for r in items.select(F.least(F.size("item_words"), F.lit(WINDOW))).distinct().collect()) or [WINDOW]
     own = [items.filter(F.size("item_words") == n) if n < WINDOW else items.filter(F.size("item_words") >= n) for n in sizes]
     known = None
     for n, some in zip(sizes, own):
-        at = some.select("item", "item_template", F.explode(_windows(F.col("item_words"), [n])).alias("w"))
-        literal = F.size(F.filter(F.slice("item_template", F.col("w.place") + 1, n), lambda w: ~w.isin(NAME, NUMBER, UNIT)))
-        at = at.filter(literal >= LITERAL).select("item", F.col("w.place").alias("item_place"), F.col("w.hash").alias("hash"), F.lit(n).alias("size"))
-        known = at if known is None else known.union(at)
+        for names in (True, False):
+            hashed = F.posexplode(_hashes(F.col("item_words"), n, names)).alias("item_place", "hash")
+            at = some.select("item", template(F.col("item_words"), names).alias("frame"), hashed)
+            literal = F.size(F.filter(F.slice("frame", F.col("item_place") + 1, n), lambda w: ~w.isin(NAME, NUMBER, UNIT)))
+            at = at.filter(literal >= LITERAL).select("item", "item_place", F.xxhash64(F.lit(n), "hash").alias("hash"), F.lit(n).alias("size"))
+            known = at if known is None else known.union(at)
     known = cut_lineage(known.distinct())
     known_small = known.count() <= BROADCAST_ROWS
 
     hashed = docs.select(F.col(text).cast("string").alias("text")).filter("text IS NOT NULL")
     placed = hashed.select(F.md5("text").alias("text_hash"), F.explode(_windows(valued(F.col("text")), sizes)).alias("w"))
     placed = placed.select("text_hash", "w.place", "w.hash")
-    met = placed.join(F.broadcast(known) if known_small else known, "hash")
+    met = _joined(placed, known, "hash", known_small, "text_hash")
     met = met.select("text_hash", "item", "item_place", "size", (F.col("place") - F.col("item_place")).alias("offset")).groupBy("text_hash", "item", "offset").agg(
         F.sort_array(F.collect_set(F.struct("item_place", "size"))).alias("places"))
     # An item has few places, whatever the corpus; windows overlap, so a place counts up to the next one.
     spans = F.transform("places", lambda p, k: F.least(p["size"], F.coalesce(F.get(F.col("places"), k + 1)["item_place"] - p["item_place"], p["size"])))
     met = met.select("text_hash", "item", "offset", F.aggregate(spans, F.lit(0), lambda a, n: a + n).alias("covered"),
                      F.get("places", F.lit(0))["item_place"].alias("low"), F.expr("places[size(places) - 1].item_place + places[size(places) - 1].size - 1").alias("high"))
-    met = cut_lineage(met.join(items, "item").filter(F.col("covered") >= F.least(F.lit(LEAST), F.size("item_words"))).drop("item_template"))
+    met = cut_lineage(met.join(items, "item").filter(F.col("covered") >= F.least(F.lit(LEAST), F.size("item_words"))))
     met_small = met.count() <= BROADCAST_ROWS // 10
 
     keys = met.select("text_hash").distinct()
@@ -106,7 +143,7 @@ def leaking_rows(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     """(key, item, covered, slots, exact) per row of ``docs`` and item that its text gives away."""
     found = cut_lineage(leaks(docs, benchmark, text, item))
     rows = docs.select(F.col(key), F.md5(F.col(text).cast("string")).alias("text_hash"))
-    return rows.join(found, "text_hash").drop("text_hash")
+    return _joined(rows, found, "text_hash", found.count() <= BROADCAST_ROWS, key).drop("text_hash")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
@@ -122,22 +159,24 @@ def oracle() -> str:
     """DuckDB SQL over ``documents`` and ``benchmark``."""
     def words(text: str) -> str:
         out = f"regexp_replace(coalesce({text}, ''), '[{NAME}-{UNIT}]', ' ', 'g')"
-        for _ in range(2):
-            out = f"regexp_replace({out}, '{_AFTER}', '\\1{NAME}\\2', 'g')"
+        out = f"regexp_replace({out}, '{_NAMED}', '\\1{NAME}\\2', 'g')"
         out = f"regexp_replace(lower({out}), '([0-9]+)', ' {NUMBER}\\1 ', 'g')"
         out = rf"regexp_replace({out}, '[^\p{{L}}\p{{N}}{NAME}-{UNIT}]+', ' ', 'g')"
-        out = f"regexp_replace({out}, '({NUMBER}[0-9]+) ({'|'.join(UNITS)})( |$)', '\\1 {UNIT}\\2\\3', 'g')"
+        out = f"regexp_replace({out}, '({NUMBER}[0-9]+) {NAME}?({'|'.join(UNITS)})( |$)', '\\1 {UNIT}\\2\\3', 'g')"
         return f"list_filter(string_split(trim({out}), ' '), lambda x: x <> '')"
 
     slot = f"('{NAME}', '{NUMBER}', '{UNIT}')"
     frame = f"lambda x: CASE WHEN x[1] IN {slot} THEN x[1] ELSE x END"
+    plain = f"lambda x: CASE WHEN x[1] = '{NAME}' THEN x[2:] WHEN x[1] IN {slot} THEN x[1] ELSE x END"
+    both = f"unnest([list_transform({{w}}, {frame}), list_transform({{w}}, {plain})])"
     return f"""
-WITH items AS (SELECT DISTINCT item_id, iw, list_transform(iw, {frame}) AS it FROM (SELECT item_id, {words('text')} AS iw FROM benchmark) WHERE len(iw) >= {LITERAL}),
+WITH items AS (SELECT DISTINCT item_id, iw FROM (SELECT item_id, {words('text')} AS iw FROM benchmark) WHERE len(iw) >= {LITERAL}),
+frames AS (SELECT item_id, {both.format(w='iw')} AS it FROM items),
 known AS (SELECT DISTINCT item_id, n, k, win FROM (SELECT item_id, n, k, it[k:k + n - 1] AS win FROM (
-  SELECT item_id, it, least(len(it), {WINDOW}) AS n, unnest(range(1, len(it) - least(len(it), {WINDOW}) + 2)) AS k FROM items))
+  SELECT item_id, it, least(len(it), {WINDOW}) AS n, unnest(range(1, len(it) - least(len(it), {WINDOW}) + 2)) AS k FROM frames))
   WHERE len(list_filter(win, lambda x: x NOT IN {slot})) >= {LITERAL}),
-texts AS MATERIALIZED (SELECT h, dw, list_transform(dw, {frame}) AS dt FROM (SELECT md5(text) AS h, {words('text')} AS dw FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL))),
-placed AS (SELECT h, n, p, dt[p:p + n - 1] AS win FROM (SELECT h, dt, n, unnest(range(1, len(dt) - n + 2)) AS p FROM texts, (SELECT DISTINCT n FROM known))),
+texts AS MATERIALIZED (SELECT h, dw FROM (SELECT md5(text) AS h, {words('text')} AS dw FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL))),
+placed AS (SELECT h, n, p, dt[p:p + n - 1] AS win FROM (SELECT h, dt, n, unnest(range(1, len(dt) - n + 2)) AS p FROM (SELECT h, {both.format(w='dw')} AS dt FROM texts), (SELECT DISTINCT n FROM known))),
 met AS (SELECT DISTINCT h, item_id, p - k AS d, k, n FROM placed JOIN known USING (n, win)),
 spans AS (SELECT *, least(n, coalesce(lead(k) OVER (PARTITION BY h, item_id, d ORDER BY k, n) - k, n)) AS span FROM met),
 runs AS (SELECT h, item_id, d, sum(span) AS covered, min(k) AS low, max(k) + max_by(n, k) - 1 AS high FROM spans GROUP BY ALL),

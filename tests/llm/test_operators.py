@@ -542,3 +542,32 @@ def test_one_row_of_each_component_stays(spark):
     got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
     assert got == sorted([(1, text), (1, other), (None, "c " * 30), (None, None), (None, ""), (5, " "), (5, " ")], key=str)
     assert neardup.keep_one(docs.limit(0)).count() == 0
+
+
+def test_templates_whatever_stands_before_and_in_any_case(spark):
+    short, other = "How many legs do nine spiders have in total?", "What is the capital city of the old kingdom of Bavaria"
+    names = "Anna has 5 apples. Ben gives her 3 more apples from his own small garden. How many apples does Anna have now?"
+    bench = frame(spark, [(1, short), (2, other), (3, names), (4, "Name the four winds")], "item_id long, text string")
+    renamed = names.replace("Anna", "Zoe").replace("Ben", "Carl").replace("5", "17").replace("3", "4")
+    rows = [(1, "Question: " + short), (2, "x. " + short), (3, short.lower()), (4, short.upper()), (5, "Question: " + other), (6, "see: " + other.lower() + "."), (7, "They say " + other.upper()),
+            (8, "Q: " + renamed), (9, renamed.replace("Zoe have", "Carl have")), (10, "please " + names.lower()), (11, "How many legs do spiders have in all?"), (12, "Question: Name the four winds"),
+            (13, "Many Legs Do Nine Other Things Have In Some Total Or None")]
+    got = {(r.doc_id, r.item_id): r.exact for r in templates.leaking_rows(frame(spark, rows), bench).collect()}
+    assert got == {**{(k, 1): True for k in (1, 2, 3, 4)}, **{(k, 2): True for k in (5, 6, 7)}, (8, 3): False, (10, 3): True, (12, 4): True}
+
+
+def test_template_joins_beyond_the_broadcast(spark, monkeypatch):
+    docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    want = sorted(map(tuple, templates.leaking_rows(docs, bench).collect()))
+    monkeypatch.setattr(templates, "BROADCAST_ROWS", 0)
+    assert want and sorted(map(tuple, templates.leaking_rows(docs, bench).collect())) == want
+
+
+@pytest.mark.parametrize("n", [4, 5, 6, 7, 8])
+def test_window_hashes_tell_windows_apart(spark, n):
+    rng = random.Random(n)
+    words = [rng.choice("abc") for _ in range(60)]
+    rows = spark.createDataFrame([(words,), (words[:n],), (words[: n - 1],), ([],)], "w array<string>").select(templates._hashes(F.col("w"), n, True).alias("h")).collect()
+    windows = [tuple(words[k : k + n]) for k in range(len(words) - n + 1)]
+    assert len(rows[0].h) == len(windows) and len(rows[1].h) == 1 and rows[1].h[0] == rows[0].h[0] and rows[2].h == rows[3].h == []
+    assert len(set(rows[0].h)) == len(set(windows)) and len(set(zip(rows[0].h, windows))) == len(set(windows))
