@@ -61,9 +61,15 @@ def assign_shards(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text
 
 
 def write_shards(docs: DataFrame, folder: str, limit: int = LIMIT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write the rows of ``docs`` (keys unique) below ``folder``, a directory per shard; returns the directory table."""
+    """Write the rows of ``docs`` (keys unique, or it is an error) below ``folder``, a directory per shard; returns the directory table.
+
+    The directory of the one shard of a small table is ``_shard=root``, as its prefix is empty.
+    """
+    if not docs.groupBy(key).count().filter("count > 1").isEmpty():
+        raise ValueError(f"{key} is not unique")
     assigned = cut_lineage(assign_shards(docs, limit, key, text).select(F.col(key).alias("_key"), "shard", "shard_bytes", "shard_rows"))
-    placed = docs.join(assigned.select("_key", F.col("shard").alias("_shard")), docs[key].eqNullSafe(F.col("_key"))).drop("_key")
+    name = F.when(F.col("shard") == "", "root").otherwise(F.concat(F.lit("b"), "shard"))
+    placed = docs.join(assigned.select("_key", name.alias("_shard")), docs[key].eqNullSafe(F.col("_key"))).drop("_key")
     placed.repartition("_shard").write.partitionBy("_shard").parquet(folder)
     return assigned.groupBy("shard").agg(F.first("shard_bytes").alias("shard_bytes"), F.first("shard_rows").alias("shard_rows"))
 

@@ -1,11 +1,14 @@
 """Toxicity: FTRL-proximal logistic regression over hashed words, word pairs and skip-pairs.
 
 Features are 32-bit hashes of lower-cased words, of neighbouring words and of words one apart; a document has a feature or
-not.  Training sees a bounded sample of labelled rows: at most about SAMPLE of each class, chosen by hash of the key;
-the log of the ratio of the two rates is taken off the bias, so that scores stand for the labels at their own ratio.  The
+not.  Training sees a bounded sample of labelled rows: at most about SAMPLE of each class, chosen by hash of the key.  The
 sample is dealt to shards of about SHARD rows; in every round each shard runs FTRL-proximal a few times over its rows from
-the common state, and the states are averaged per coordinate (parameter mixing).  Rates are per coordinate and the L1 term leaves few
-weights other than zero, so the model is small: it is broadcast and looked up by binary search behind a bitmap.
+the common state, and the states of all shards are averaged per coordinate, one that a shard has not seen counting as it was
+(parameter mixing).  Rates are per coordinate and the L1 term leaves few weights other than zero, so the model is small: it is
+broadcast and looked up by binary search behind a bitmap.
+
+FOLDS more models learn in the same tasks, each from all folds of the sample but one; their margins on the fold left out, with each
+class weighed by 1 over its rate, give the slope and offset that turn margins into probabilities of the labels at their own ratio.
 
 Defined results: an empty or null text has no features and gets the score of the bias alone; labels that are null, and
 repeated labels of a key (the largest counts), are handled; a labelled key without a document is ignored; without any labelled
@@ -30,6 +33,7 @@ from millwarden.session import cut_lineage
 #: Labelled rows of each class that training sees at most (about: a hash decides), rows of a shard, rounds, passes of a shard in a round.
 SAMPLE, SHARD, ROUNDS, PASSES = 12_000, 3_000, 2, 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.01
+FOLDS = 4
 #: A feature is learned from that many documents of a shard on.
 SEEN = 2
 HELD = 300_000
@@ -109,26 +113,51 @@ def train(rows: list[tuple[np.ndarray, int]], start: State, passes: int = 1) ->
 
 @dataclass(frozen=True)
 class Model:
-    """Sorted feature indices with their weights, and the bias."""
+    """Sorted feature indices with their weights, the bias, and the slope and offset of the calibration."""
 
     index: np.ndarray
     weight: np.ndarray
     bias: float
+    slope: float = 1.0
+    offset: float = 0.0
 
-    def scorer(self):
+    def margins(self):
         bitmap = np.zeros(BITMAP, dtype=bool)
         bitmap[self.index & np.uint32(BITMAP - 1)] = True
 
-        def score(found: np.ndarray) -> float:
+        def margin(found: np.ndarray) -> float:
             found = np.unique(found[bitmap[found & np.uint32(BITMAP - 1)]])
             at = np.searchsorted(self.index, found)
             at = at[at < len(self.index)]
-            total = self.bias
-            if len(at):
-                total += float(self.weight[at[np.isin(self.index[at], found)]].sum())
-            return float(1 / (1 + np.exp(-np.clip(total, -35, 35))))
+            return self.bias + (float(self.weight[at[np.isin(self.index[at], found)]].sum()) if len(at) else 0.0)
 
-        return score
+        return margin
+
+    def scorer(self):
+        margin = self.margins()
+        return lambda found: float(1 / (1 + np.exp(-np.clip(self.slope * margin(found) + self.offset, -35, 35))))
+
+
+def calibration(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of a weighed logistic regression on the margin, by Newton's method (Platt 1999); none for a single class.
+
+    The targets are drawn in by Laplace's rule, so that classes told apart without error have a finite slope.
+    """
+    if len(np.unique(label)) < 2:
+        return 1.0, 0.0
+    n = np.array([weight[label == y].sum() for y in (0, 1)])
+    target = np.where(label == 1, (n[1] + 1) / (n[1] + 2), 1 / (n[0] + 2))
+    x, at = np.stack([margin, np.ones(len(margin))], axis=1), np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ at, -35, 35)))
+        slope = x.T @ (weight * (p - target))
+        bend = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-9 * np.eye(2)
+        step = np.linalg.solve(bend, slope)
+        # A long step is cut, so that no start is too far.
+        at = at - step * min(1.0, 4.0 / max(1e-12, np.abs(step).max()))
+        if np.abs(step).max() < 1e-8:
+            break
+    return (float(at[0]), float(at[1])) if np.isfinite(at).all() and at[0] > 0 else (1.0, 0.0)
 
 
 def held_out(key: Column) -> Column:
@@ -152,32 +181,65 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         hashes = WordHashes()
         for batch in batches:
             found = [np.unique(features(t.as_py(), hashes)).tobytes() for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *batch.columns[1:]], ["features", "label", "place", "shard"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *batch.columns[1:]], ["features", "label", "place", "shard", "fold"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "key")
-    rows = rows.select("text", "label", F.xxhash64("key", F.lit(1)).alias("place"), F.pmod(F.xxhash64("key", F.lit(2)), F.lit(shards)).cast("int").alias("shard"))
-    rows = cut_lineage(rows.mapInArrow(featured, "features binary, label int, place long, shard int"))
-    state = State()
+    rows = rows.select("text", "label", F.xxhash64("key", F.lit(1)).alias("place"), F.pmod(F.xxhash64("key", F.lit(2)), F.lit(shards)).cast("int").alias("shard"),
+                       F.pmod(F.xxhash64("key", F.lit(3)), F.lit(FOLDS)).cast("int").alias("fold"))
+    rows = cut_lineage(rows.mapInArrow(featured, "features binary, label int, place long, shard int, fold int"))
+    # Model k leaves out fold k; the last one none.
+    states = [State() for _ in range(FOLDS + 1)]
     for _ in range(rounds):
-        common = spark.sparkContext.broadcast(state)
+        common = spark.sparkContext.broadcast(states)
 
         def one_pass(table: pa.Table) -> pa.Table:
-            own = table.sort_by("place")
+            own, parts = table.sort_by("place"), []
+            fold = own.column("fold").to_numpy()
             data = [(np.frombuffer(f.as_buffer(), dtype=np.uint32), y.as_py()) for f, y in zip(own.column("features"), own.column("label"))]
-            new = train(data, common.value, passes)
-            strong = np.abs(new.z) > L1 / 4  # the rest is as good as unseen
-            index = np.append(new.index[strong].astype(np.int64), -1)
-            return pa.table({"feature": index, "z": np.append(new.z[strong], new.bias[0]), "n": np.append(new.n[strong], new.bias[1])})
-
-        passed = rows.groupBy("shard").applyInArrow(one_pass, "feature long, z double, n double")
-        mixed = passed.groupBy("feature").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toArrow().sort_by("feature")
-        index, z, n = (mixed.column(c).to_numpy() for c in ("feature", "z", "n"))
-        own = index >= 0
-        state = State(index[own].astype(np.uint32), z[own], n[own], (float(z[~own][0]), float(n[~own][0])) if (~own).any() else (0.0, 0.0))
+            for k, start in enumerate(common.value):
+                new = train([row for row, f in zip(data, fold) if f != k], start, passes)
+                told = (np.abs(new.z) > L1 / 4) | np.isin(new.index, start.index)  # the rest is as good as unseen
+                index = np.append(new.index[told].astype(np.int64), -1)
+                parts.append(pa.table({"model": np.full(len(index), k, "int32"), "feature": index, "z": np.append(new.z[told], new.bias[0]), "n": np.append(new.n[told], new.bias[1])}))
+            return pa.concat_tables(parts)
+
+        passed = rows.groupBy("shard").applyInArrow(one_pass, "model int, feature long, z double, n double")
+        mixed = passed.groupBy("model", "feature").agg(F.sum("z").alias("z"), F.sum("n").alias("n"), F.count("*").alias("told")).toArrow().sort_by([("model", "ascending"), ("feature", "ascending")])
+        of, index, z, n, told = (mixed.column(c).to_numpy() for c in ("model", "feature", "z", "n", "told"))
+        states = [_mixed(state, index[of == m], z[of == m], n[of == m], told[of == m], shards) for m, state in enumerate(states)]
+    models = [_model(state) for state in states]
+    final = models.pop()
+    if not counts:
+        return Model(final.index, final.weight, float(np.log(1 / 3)))
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        margins = [m.margins() for m in models]
+        for batch in batches:
+            found = [margins[h.as_py()](np.frombuffer(f.as_buffer(), dtype=np.uint32)) for f, h in zip(batch.column(0), batch.column(2))]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column(1)], ["margin", "label"])
+
+    # As many rows as the sample has, which is bounded.
+    seen = rows.select("features", "label", "fold").mapInArrow(judged, "margin double, label int").toArrow().sort_by([("margin", "ascending"), ("label", "ascending")])
+    label_of = seen.column("label").to_numpy()
+    slope, offset = calibration(seen.column("margin").to_numpy(), label_of, np.where(label_of == 1, 1 / rates[1], 1 / rates[0]))
+    return Model(final.index, final.weight, final.bias, slope, offset)
+
+
+def _mixed(start: State, index: np.ndarray, z: np.ndarray, n: np.ndarray, told: np.ndarray, shards: int) -> State:
+    """Mean over all shards; where one told nothing of a coordinate it is as at the start."""
+    own = index >= 0
+    z0, n0 = start.looked_up(index[own].astype(np.uint32))
+    rest = shards - told[own]
+    bias = start.bias
+    if (~own).any():
+        silent = shards - told[~own][0]
+        bias = ((float(z[~own][0]) + silent * start.bias[0]) / shards, (float(n[~own][0]) + silent * start.bias[1]) / shards)
+    return State(index[own].astype(np.uint32), (z[own] + rest * z0) / shards, (n[own] + rest * n0) / shards, bias)
+
+
+def _model(state: State) -> Model:
     w = weights(state.z, state.n)
-    # The sample has rates[1] / rates[0] times the odds of the labels.
-    bias = -state.bias[0] / ((BETA + np.sqrt(state.bias[1])) / ALPHA) - np.log(rates[1] / rates[0])
-    return Model(state.index[w != 0], w[w != 0], float(bias) if counts else float(np.log(1 / 3)))
+    return Model(state.index[w != 0], w[w != 0], float(-state.bias[0] / ((BETA + np.sqrt(state.bias[1])) / ALPHA)))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxicity") -> DataFrame:

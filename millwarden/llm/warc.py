@@ -3,7 +3,7 @@
 ``spark.dataSource.register(WarcSource)`` gives format ``warc``.  A record is a gzip member of its own whose header carries
 the lengths of the member (the extra field ``sl``), so a reader can leave a record after its headers.  The writer starts a new
 file every FILE_BYTES; the commit writes a manifest of the files that count, so what a lost attempt left is never read.  The
-reader plans one partition per file, takes equality, IN and prefix predicates on the header columns, parses the headers of a
+reader plans one partition per file (of a folder without a manifest, per ``*.warc`` or ``*.warc.gz`` file, whoever wrote it), takes equality, IN and prefix predicates on the header columns, parses the headers of a
 record first and inflates the rest only if it passes and the payload is wanted (option ``payload``).
 
 Defined results: a null body is an empty payload; a null URL makes a record without target; a null key makes an id without
@@ -74,6 +74,8 @@ def records(file, size: int, wanted, payload: bool) -> Iterator[tuple[dict[str,
     while at < size:
         file.seek(at)
         data = file.read(HEAD)
+        if data[:3] != b"\x1f\x8b\x08":
+            raise ValueError("not a gzip member")
         skip, start = None, 10
         if data[3] & 4:
             n = struct.unpack_from("<H", data, 10)[0]
@@ -83,6 +85,10 @@ def records(file, size: int, wanted, payload: bool) -> Iterator[tuple[dict[str,
                 if name == b"sl" and length == 8:
                     skip = struct.unpack_from("<II", data, k + 4)[0]
                 k += 4 + length
+        for flag in (8, 16):  # a name and a comment, each ended by a zero byte
+            if data[3] & flag:
+                start = data.index(b"\0", start) + 1
+        start += 2 if data[3] & 2 else 0
         inflate, raw, pending = zlib.decompressobj(-15), b"", data[start:]
         while b"\r\n\r\n" not in raw and not inflate.eof:
             pending = pending or file.read(HEAD)
@@ -102,6 +108,8 @@ def records(file, size: int, wanted, payload: bool) -> Iterator[tuple[dict[str,
                 parts.append(inflate.decompress(pending))
                 pending = inflate.unconsumed_tail
             rest = b"".join(parts)
+            if len(rest) > int(headers.get("content-length", 0)) + 4:
+                raise ValueError("a member holds more than one record")
         # A member ends by 8 bytes of checks, behind what was inflated.
         at = at + skip if skip is not None else file.tell() - len(inflate.unused_data) + 8
         if take:
@@ -110,6 +118,34 @@ def records(file, size: int, wanted, payload: bool) -> Iterator[tuple[dict[str,
             yield headers, body
 
 
+def plain_records(file, size: int, wanted, payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """As ``records``, of a file that is not compressed."""
+    at = 0
+    while at < size:
+        file.seek(at)
+        raw = b""
+        while b"\r\n\r\n" not in raw:
+            more = file.read(HEAD)
+            if not more:
+                if not raw.strip():
+                    return
+                raise ValueError("record is cut off")
+            raw += more
+        opening = len(raw) - len(raw.lstrip(b"\r\n"))
+        head = raw[opening:].partition(b"\r\n\r\n")[0]
+        headers = _parsed(head)
+        start, length = at + opening + len(head) + 4, int(headers.get("content-length", 0))
+        if start + length > size:
+            raise ValueError("record is cut off")
+        at = start + length + 4
+        if wanted(headers):
+            body = None
+            if payload and headers.get("warc-type") == "response":
+                file.seek(start)
+                body = file.read(length).partition(b"\r\n\r\n")[2]
+            yield headers, body
+
+
 @dataclass
 class FilePartition(InputPartition):
     name: str
@@ -137,11 +173,16 @@ class WarcReader(DataSourceReader):
 
     def partitions(self):
         system, folder = file_system(self.folder)
+        listed = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+        manifests = [info for info in listed if info.base_name.startswith("_manifest-")]
         found = {}
-        for info in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
-            if info.base_name.startswith("_manifest-"):
-                with system.open_input_file(info.path) as file:
-                    found.update(json.loads(file.read()))
+        for info in manifests:
+            with system.open_input_file(info.path) as file:
+                found.update(json.loads(file.read()))
+        if not manifests:
+            found = {info.base_name: info.size for info in listed if info.is_file and info.base_name.endswith((".warc", ".warc.gz"))}
+            if not found:
+                raise FileNotFoundError(f"no WARC file in {self.folder}")
         return [FilePartition(f"{folder}/{name}", size) for name, size in sorted(found.items())] or [FilePartition("", 0)]
 
     def _column(self, headers: dict[str, str], column: str):
@@ -160,7 +201,8 @@ class WarcReader(DataSourceReader):
             return
         system, _ = file_system(self.folder)
         with system.open_input_file(partition.name) as file:
-            for headers, body in records(file, partition.size, self._wanted, self.payload):
+            read = plain_records if partition.name.endswith(".warc") else records
+            for headers, body in read(file, partition.size, self._wanted, self.payload):
                 values = [self._column(headers, c) for c in HEADER_OF]
                 yield (*values[:-1], int(values[-1]) if values[-1] is not None else None, body)
 

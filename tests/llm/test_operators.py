@@ -571,3 +571,96 @@ def test_window_hashes_tell_windows_apart(spark, n):
     windows = [tuple(words[k : k + n]) for k in range(len(words) - n + 1)]
     assert len(rows[0].h) == len(windows) and len(rows[1].h) == 1 and rows[1].h[0] == rows[0].h[0] and rows[2].h == rows[3].h == []
     assert len(set(rows[0].h)) == len(set(windows)) and len(set(zip(rows[0].h, windows))) == len(set(windows))
+
+
+def plain_ftrl(rows, passes):
+    """FTRL-proximal as published, a coordinate at a time, over (set of features, label) rows."""
+    import math
+
+    seen = {}
+    for found, _ in rows:
+        for f in found:
+            seen[f] = seen.get(f, 0) + 1
+    z, n = {f: 0.0 for f, k in seen.items() if k >= toxicity.SEEN}, {}
+    bias = [0.0, 0.0]
+
+    def weight(f):
+        if abs(z[f]) <= toxicity.L1:
+            return 0.0
+        return -(z[f] - math.copysign(toxicity.L1, z[f])) / ((toxicity.BETA + math.sqrt(n.get(f, 0.0))) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(passes):
+        for found, label in rows:
+            w = {f: weight(f) for f in found if f in z}
+            b = -bias[0] / ((toxicity.BETA + math.sqrt(bias[1])) / toxicity.ALPHA)
+            g = 1 / (1 + math.exp(-max(-35, min(35, sum(w.values()) + b)))) - label
+            for f, value in w.items():
+                rate = (math.sqrt(n.get(f, 0.0) + g * g) - math.sqrt(n.get(f, 0.0))) / toxicity.ALPHA
+                z[f] += g - rate * value
+                n[f] = n.get(f, 0.0) + g * g
+            bias[0] += g - (math.sqrt(bias[1] + g * g) - math.sqrt(bias[1])) / toxicity.ALPHA * b
+            bias[1] += g * g
+    return z, n, bias
+
+
+def test_ftrl_equals_the_plain_one():
+    rng = random.Random(12)
+    rows = [(np.unique(np.array([rng.randrange(40) for _ in range(rng.randrange(12))] + ([50] if k % 3 == 0 else []), dtype=np.uint32)), int(k % 3 == 0)) for k in range(150)]
+    state = toxicity.train(rows, toxicity.State(), 3)
+    z, n, bias = plain_ftrl([(r.tolist(), y) for r, y in rows], 3)
+    assert state.index.tolist() == sorted(z) and np.allclose(state.z, [z[f] for f in sorted(z)]) and np.allclose(state.n, [n.get(f, 0.0) for f in sorted(z)]) and np.allclose(state.bias, bias)
+    assert toxicity.weights(state.z, state.n).any()
+
+
+def test_mixing_counts_silent_shards():
+    start = toxicity.State(np.array([3, 9], np.uint32), np.array([2.0, -4.0]), np.array([1.0, 5.0]), (1.0, 2.0))
+    mixed = toxicity._mixed(start, np.array([-1, 3, 7]), np.array([8.0, 10.0, 6.0]), np.array([4.0, 3.0, 2.0]), np.array([4, 2, 1]), 4)
+    assert mixed.index.tolist() == [3, 7] and mixed.z.tolist() == [(10 + 2 * 2) / 4, 6 / 4] and mixed.n.tolist() == [(3 + 2 * 1) / 4, 2 / 4] and mixed.bias == (2.0, 1.0)
+
+
+def test_calibration_recovers_slope_and_offset():
+    rng = np.random.default_rng(5)
+    margin = rng.normal(0, 2, 20_000)
+    label = (rng.random(20_000) < 1 / (1 + np.exp(-(1.5 * margin - 1)))).astype(int)
+    assert np.allclose(toxicity.calibration(margin, label, np.ones(20_000)), (1.5, -1.0), atol=0.1)
+    # Clean rows thinned to a quarter and weighed by four give the same.
+    kept = (label == 1) | (rng.random(20_000) < 0.25)
+    assert np.allclose(toxicity.calibration(margin[kept], label[kept], np.where(label[kept] == 1, 1.0, 4.0)), (1.5, -1.0), atol=0.15)
+    assert toxicity.calibration(margin, np.zeros(20_000, int), np.ones(20_000)) == (1.0, 0.0)
+    slope, _ = toxicity.calibration(np.array([-1.0, -2.0, 1.0, 2.0] * 10), np.array([0, 0, 1, 1] * 10), np.ones(40))
+    assert 0 < slope < 50
+
+
+def test_foreign_archives_are_read_whole(spark, tmp_path):
+    import gzip
+
+    def raw(kind, n, body):
+        block = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n" + body if kind == "response" else body
+        return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:x:{n}>\r\nWARC-Target-URI: http://h/{n}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    rows = [("warcinfo", 0, b"software: other\r\n"), ("response", 1, b"one\r\n\r\ntwo"), ("response", 2, b"x" * 30_000), ("request", 3, b"GET /"), ("response", 4, b"")]
+    folder = tmp_path / "foreign"
+    folder.mkdir()
+    (folder / "a.warc").write_bytes(b"".join(raw(*r) for r in rows))
+    (folder / "b.warc.gz").write_bytes(b"".join(gzip.compress(raw(*r)) for r in rows))
+    with gzip.GzipFile(folder / "c.warc.gz", "wb") as named:  # a member with a name
+        named.write(raw(*rows[1]))
+    (folder / "note.txt").write_text("not an archive")
+    got = sorted((r.record_id, r.record_type, bytes(r.payload) if r.payload is not None else None) for r in warc.read_warc(spark, str(folder)).collect())
+    each = [(f"<urn:x:{n}>", kind, body if kind == "response" else None) for kind, n, body in rows]
+    assert got == sorted(each * 2 + [each[1]])
+    assert warc.read_warc(spark, str(folder), payload=False).filter("record_type = 'response' AND target_uri = 'http://h/2'").count() == 2
+    with gzip.open(folder / "d.warc.gz", "wb") as two:
+        two.write(raw(*rows[1]) + raw(*rows[2]))
+    with pytest.raises(Exception, match="more than one record"):
+        warc.read_warc(spark, str(folder)).collect()
+    (tmp_path / "none").mkdir()
+    with pytest.raises(Exception, match="no WARC file"):
+        warc.read_warc(spark, str(tmp_path / "none")).collect()
+
+
+def test_shards_refuse_repeated_keys(spark, tmp_path):
+    with pytest.raises(ValueError, match="unique"):
+        sharding.write_shards(frame(spark, [(1, "a"), (1, "b")]), f"{tmp_path}/s")
+    table = sharding.write_shards(frame(spark, [(1, "a"), (None, "b")]), f"{tmp_path}/t").collect()
+    assert [(r.shard, r.shard_rows) for r in table] == [("", 2)] and {r._shard for r in spark.read.parquet(f"{tmp_path}/t").collect()} == {"root"}
