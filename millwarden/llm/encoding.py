@@ -18,8 +18,8 @@ from millwarden.llm.common import in_bytes
 _PLAIN = "[!-~À-ÖØ-öø-ɏ]"
 CUT = re.compile(f" (?<={_PLAIN} )(?={_PLAIN})")
 
-#: Characters of a text handled at once, and distinct words of a generation (about 60 MB).
-SEGMENT, HELD = 1 << 16, 400_000
+#: Characters of a text handled at once, and distinct words, and runs, of a generation (about 30 MB each).
+SEGMENT, HELD = 1 << 16, 200_000
 
 
 _SAFE = frozenset(chr(c) for c in range(0x250) if re.fullmatch(_PLAIN, chr(c))) | {" ", "\n"}

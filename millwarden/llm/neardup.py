@@ -44,7 +44,7 @@ REACH, ALIKE = 3, 0.55
 SALTS = 16
 #: Nodes and shingles of a block of a crowded region; two blocks meet in a task.  Sets up to which a shingle is counted pair by
 #: pair, and columns of a product.
-BLOCK, SHINGLES, FEW, COLUMNS = 2048, 1 << 20, 16, 2048
+BLOCK, SHINGLES, FEW, COLUMNS = 1024, 1 << 19, 16, 1024
 HELD = 300_000
 
 _random = np.random.default_rng(20240229)
