@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from millwarden.functions.scoring import ratio
 from millwarden.operators.quantiles import exact_quantiles
 from millwarden.operators.ranking import running_totals
+from millwarden.session import cut_lineage
 
 SWEEP_LOW, SWEEP_HIGH = 5, 95  # hundredths
 HIGH_RECALL = 0.90
@@ -50,11 +51,11 @@ def classification_report(counts: DataFrame) -> DataFrame:
 def curve_points(df: DataFrame, by: Sequence[str], score: str, label: str) -> DataFrame:
     """Per distinct score, highest first: counts at the score (pos, neg) and at or above it (tp, fp), with group totals."""
     by = list(by)
-    counts = df.groupBy(*by, score).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
+    # Written once: the ranges, the running totals and the group totals all come from these counts.
+    counts = cut_lineage(df.groupBy(*by, score).agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")))
     points = running_totals(counts, score, {"pos": "tp", "neg": "fp"}, by=by, descending=True)
-    totals = df.groupBy(*by).agg(
-        F.count_if(F.col(label) == 1).alias("positives"), F.count_if(F.col(label) != 1).alias("negatives"))
+    totals = counts.groupBy(*by).agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("positives"), F.coalesce(F.sum("neg"), F.lit(0)).alias("negatives"))
     return points.join(totals, by) if by else points.withColumns(
         {c: F.lit(v) for c, v in totals.first().asDict().items()})
 

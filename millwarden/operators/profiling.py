@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,20 +119,35 @@ def _defined(value: Column) -> Column:
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every ordered pair; a constant column correlates with nothing.
 
-    One pass finds means and deviations, one sums the standardised products.
+    One pass finds means and deviations, one adds up the standardised products of a batch as a matrix.
     """
     row = df.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
     live = [c for c in columns if row[f"s_{c}"]]
     z = df.select(*[((F.col(c) - F.lit(row[f"m_{c}"])) / F.lit(row[f"s_{c}"])).alias(c) for c in live])
-    pairs = [(a, b) for i, a in enumerate(live) for b in live[i:]]
-    sums = z.agg(*[F.avg(F.col(a) * F.col(b)).alias(f"{a}|{b}") for a, b in pairs])
-    cells = []
+    width = len(live)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, 2 * width))
+        for batch in batches:
+            data = np.column_stack([c.to_numpy(zero_copy_only=False).astype("float64") for c in batch.columns]) if batch.num_rows else np.zeros((0, width))
+            known = ~np.isnan(data)
+            data = np.where(known, data, 0.0)
+            total += np.hstack([data.T @ data, known.T.astype("float64") @ known])
+        yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int64()), pa.array(list(total), pa.list_(pa.float64()))], ["i", "sums"])
+
+    # A table of columns by columns: sums of products, then rows in which both are known.
+    found = {} if not live else {r["i"]: r for r in z.mapInArrow(products, "i long, sums array<double>").groupBy("i").agg(
+        *[F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(2 * width)]).collect()}
+    rows = []
     for a in columns:
         for b in columns:
-            name = f"{a}|{b}" if (a, b) in pairs else f"{b}|{a}"
-            value = F.round(F.col(f"`{name}`"), 6) if a in live and b in live else F.lit(None).cast("double")
-            cells.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), value.alias("r")))
-    return sums.select(F.inline(F.array(*cells)))
+            value = None
+            if a in live and b in live:
+                i, j = live.index(a), live.index(b)
+                both = found[i][f"s{width + j}"]
+                value = found[i][f"s{j}"] / both if both else None
+            rows.append((a, b, value))
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double").withColumn("r", F.round("r", 6))
 
 
 def target_association(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
