@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millwarden.llm.common import bind, words_of
+from millwarden.session import cut_lineage
 
 WINDOW = 8
 #: Character classes that are counted.
@@ -164,8 +165,8 @@ def rate(rated: DataFrame, model: RuleModel, least: float = 0.5) -> DataFrame:
 
 
 def filter_quality(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with its own columns.  Two passes over the texts, no shuffle of rows."""
-    rated = measured(docs.select(F.struct(*docs.columns).alias("row"), F.col(text)), text)
+    """The rows of ``docs`` that the rules keep, with its own columns.  The texts are measured once and written with their measures; no shuffle of rows."""
+    rated = cut_lineage(measured(docs.select(F.struct(*docs.columns).alias("row"), F.col(text)), text).select("row", "measures"))
     return rate(rated, fit_rules(rated)).filter("kept").select("row.*")
 
 
