@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from millwarden.llm.common import in_bytes
-from millwarden.llm.encoding import WordTable, segments
+from millwarden.llm.encoding import PieceTable, segments
 from millwarden.session import cut_lineage
 
 LANE, BATCH_BYTES, HELD = 1 << 10, 1 << 21, 200_000
@@ -67,8 +67,8 @@ class Spelled:
             model.encode_special_tokens = True
             self.call = lambda batch: [e.ids for e in model.encode_batch_fast(batch, add_special_tokens=False)]
             self.space = " "
-            # Words are encoded once while they are held; the table takes the strings of special tokens for these, so their lanes go alone.
-            self.table = WordTable(path, HELD)
+            # Pieces are encoded once while they are held; the table takes the strings of special tokens for these, so their lanes go alone.
+            self.table = PieceTable(path, HELD)
             self.special = re.compile("|".join(re.escape(t.content) for t in model.get_added_tokens_decoder().values()) or "(?!)")
             letters = byte_letters()
             spell = [self._letters(model.id_to_token(k), letters) for k in range(model.get_vocab_size())]
@@ -90,7 +90,7 @@ class Spelled:
         """Ids of the lanes end to end, and the number of each lane."""
         if self.table is not None:
             alone = [k for k, x in enumerate(lanes) if self.special.search(x)]
-            found = [b"".join(x) for x in self.table.values([("" if self.special.search(x) else x, False) for x in lanes])]
+            found = self.table.values([("" if self.special.search(x) else x, False) for x in lanes])
             for k, ids in zip(alone, self.call([self.space + lanes[k] for k in alone])):
                 found[k] = np.array(ids, dtype="<u4").tobytes()
             return np.frombuffer(b"".join(found), dtype="<u4").astype(np.int64), np.array([len(x) // 4 for x in found], dtype=np.int64)

@@ -1,14 +1,16 @@
-"""Texts to token ids inside tasks: cut where no token can cross, distinct words encoded once while they are held.
+"""Texts to token ids inside tasks: cut where no token can cross, distinct pieces encoded once while they are held.
 
-A text is cut at single spaces between two plain characters.  None of the three public vocabularies used here has a token
+A long text is cut at single spaces between two plain characters.  None of the three public vocabularies used here has a token
 that reaches across such a space from the left (a space opens the next token or is dropped), so the ids of the parts, one
-after another, are those of the whole text; tests compare both on whole tables and on random texts.
+after another, are those of the whole text.  Within a part of plain characters, spaces and line feeds, the pieces that a
+vocabulary's own pattern cuts it into are encoded one by one, whatever stands beside them, so each distinct piece goes to the library
+once while it is held; other parts go to it whole.  Tests compare both with the library on whole tables and on random texts.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 
@@ -17,19 +19,10 @@ from millwarden.llm.common import in_bytes
 #: Plain: ASCII signs, letters and digits, Latin letters with marks.
 _PLAIN = "[!-~À-ÖØ-öø-ɏ]"
 CUT = re.compile(f" (?<={_PLAIN} )(?={_PLAIN})")
-
-#: Characters of a text handled at once, and distinct words, and runs, of a generation (about 30 MB each).
-SEGMENT, HELD = 1 << 16, 200_000
-
-
 _SAFE = frozenset(chr(c) for c in range(0x250) if re.fullmatch(_PLAIN, chr(c))) | {" ", "\n"}
 
-
-def words_of(text: str) -> list[str]:
-    """The text cut at all safe spaces; by a plain split where every space of it is one."""
-    if text and _SAFE.issuperset(text) and "  " not in text and " \n" not in text and "\n " not in text and text[0] != " " and text[-1] != " ":
-        return text.split(" ")
-    return CUT.split(text)
+#: Characters of a text handled at once, and distinct pieces of a generation (about 40 MB).
+SEGMENT, HELD = 1 << 16, 300_000
 
 
 def segments(text: str, size: int = SEGMENT) -> Iterator[tuple[str, bool]]:
@@ -44,26 +37,21 @@ def segments(text: str, size: int = SEGMENT) -> Iterator[tuple[str, bool]]:
     yield text[start:], start == 0
 
 
-_WHOLE = re.compile(f"{_PLAIN}+")
+#: The patterns of the two vocabularies, over plain characters, spaces and line feeds: contractions, letters, digits, marks, white space.
+_LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
+_CONTRACTION = "'(?:s|t|re|ve|m|ll|d)"
+_SPACED = re.compile(f"{_CONTRACTION}| ?[{_LETTER}]+| ?[0-9]+| ?[^{_LETTER}0-9 \n]+|[ \n]+(?![^ \n])|[ \n]+")
+_BARE = re.compile(f"{_CONTRACTION}|[{_LETTER}]+|[0-9]|[^{_LETTER}0-9 \n]+")
 
-#: Ids of words, end to end, and where each word's ids begin (one more than words).
+#: Ids of pieces, end to end, and where each piece's ids begin (one more than pieces).
 Ids = tuple[np.ndarray, np.ndarray]
 
 
-#: Letters among the plain signs, and what the vocabularies' patterns cut a word of plain signs and single line feeds into: runs
-#: that are encoded one by one, whatever stands beside them.
-_LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
-_RUNS = re.compile(f"{_PLAIN}+(?:\n{_PLAIN}+)*")
-_RUN = f"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[0-9]{{}}|[^{_LETTER}0-9\n]+"
-_SPACED_RUN, _BARE_RUN = re.compile(_RUN.format("+") + "|\n"), re.compile(_RUN.format(""))
-
-
 class Vocabulary:
-    """A vocabulary file and its library.  Lists of words are encoded in few calls: a call costs more than a word.
+    """A vocabulary file and its library.  Lists of pieces are encoded in few calls: a call costs more than a piece.
 
-    Plain words go as one text with single spaces, and are told apart by the tokens that open (a space comes first) or, where
-    spaces are dropped, close a word.  Other words go with marks between them that the vocabulary takes as tokens of their
-    own: a special token, or the line feed where the model has it as a byte.
+    Pieces with a space before them, or of a vocabulary that drops spaces, go as one text with single spaces, and are told apart by
+    the tokens that open or, where spaces are dropped, close a piece.  Others go with a special token between them.
     """
 
     def __init__(self, path: str):
@@ -72,9 +60,7 @@ class Vocabulary:
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             self.call = lambda batch: model.encode(batch, num_threads=1)
-            self.mark, self.between, self.mark_id = "\n", "\n ", model.piece_to_id("<0x0A>")
-            self.opens = np.array([model.id_to_piece(k).startswith("\u2581") for k in range(model.get_piece_size())])
-            self.closes, self.space, self.special = None, "", None
+            self.space, self.special = "", None  # the model adds the space
             return
         import os
 
@@ -85,9 +71,8 @@ class Vocabulary:
         model.no_truncation()
         model.no_padding()
         self.call = lambda batch: [e.ids for e in model.encode_batch_fast(batch, add_special_tokens=False)]
-        self.mark = self.between = "<|endoftext|>"
-        self.mark_id, self.space = model.token_to_id(self.mark), " "
-        self.between += " "
+        self.mark, self.space = "<|endoftext|>", " "
+        self.mark_id = model.token_to_id(self.mark)
         self.special = re.compile("|".join(re.escape(t.content) for t in model.get_added_tokens_decoder().values()))
         tokens = [model.id_to_token(k) or "" for k in range(model.get_vocab_size())]
         closes = np.array([t.endswith("</w>") for t in tokens])
@@ -97,42 +82,29 @@ class Vocabulary:
     def one(self, text: str) -> np.ndarray:
         return np.asarray(self.call([text])[0], dtype="<u4")
 
-    def plain(self, word: str) -> bool:
-        return _WHOLE.fullmatch(word) is not None and self.mark not in word
-
-    def runs(self, word: str) -> list[str] | None:
-        """The runs of a word that stands inside a text, the first with the space before it where it counts; none where the patterns may cut otherwise."""
-        if self.special is None or self.special.search(word):
+    def pieces(self, text: str) -> list[str] | None:
+        """The pieces of a text; none where its pattern may cut otherwise."""
+        if self.special is None or self.special.search(text):
             return None
         if self.closes is not None:
-            word = word.lower()
-            return _BARE_RUN.findall(word) if _RUNS.fullmatch(word) else None
-        # After a space a quotation mark opens a run of marks, not a contraction.
-        if word[:1] == "'" or not _RUNS.fullmatch(word):
-            return None
-        found = _SPACED_RUN.findall(word)
-        found[0] = " " + found[0]
-        return found
-
-    def of_runs(self, runs: list[str]) -> Ids:
-        """Runs that all have a space before them, or all none, or where spaces are dropped."""
-        if self.closes is not None or runs[0][0] == " ":
-            return self.joined([r.lstrip(" ") for r in runs])
-        ids = self.one(self.mark.join(runs))
-        return self._between_marks(ids)
-
-    def joined(self, words: list[str]) -> Ids:
-        """Plain words that stand inside a text."""
-        texts = [self.space + " ".join(words[k : k + 64]) for k in range(0, len(words), 64)]
+            text = text.lower()
+            return _BARE.findall(text) if _SAFE.issuperset(text) else None
+        return _SPACED.findall(text) if _SAFE.issuperset(text) else None
+
+    def spaced(self, piece: str) -> bool:
+        return self.closes is not None or (piece[0] == " " and len(piece) > 1 and piece[1] not in " \n")
+
+    def joined(self, pieces: list[str]) -> Ids:
+        """Pieces that have a space before them, or of a vocabulary that drops it."""
+        between = "" if self.closes is None else " "
+        texts = [between.join(pieces[k : k + 64]) for k in range(0, len(pieces), 64)]
         ids = np.concatenate([np.asarray(x, dtype="<u4") for x in self.call(texts)])
         starts = np.flatnonzero(self.opens[ids]) if self.closes is None else np.flatnonzero(np.concatenate([[True], self.closes[ids]]))[:-1]
         return ids, np.append(starts, len(ids))
 
-    def marked(self, words: list[str]) -> Ids:
-        """Words without the mark that stand inside a text."""
-        return self._between_marks(self.one(self.space + self.between.join(words)))
-
-    def _between_marks(self, ids: np.ndarray) -> Ids:
+    def marked(self, pieces: list[str]) -> Ids:
+        """Any pieces, with the mark between them."""
+        ids = self.one(self.mark.join(pieces))
         at = ids == self.mark_id
         places = np.flatnonzero(at)
         return ids[~at], np.concatenate([[0], places - np.arange(len(places)), [len(ids) - len(places)]])
@@ -143,80 +115,61 @@ def as_bytes(ids: np.ndarray) -> bytes:
     return ids.tobytes()
 
 
-class WordTable:
-    """The ids (as bytes) of each distinct word, and of the runs that words are made of.  Those of this generation and the last are held; older ones go."""
+class PieceTable:
+    """The ids (as bytes) of each distinct piece.  Pieces of this generation and the last are held; older ones go."""
 
     def __init__(self, path: str, held: int = HELD):
         self.vocabulary, self.held = Vocabulary(path), held
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
-        self.old_runs: dict[str, bytes] = {}
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, pieces: set[str]) -> None:
         if len(self.young) > self.held:
             self.young, self.old = {}, self.young
-        if len(self.runs) > self.held:
-            self.runs, self.old_runs = {}, self.runs
-        plain, marked, pending, spaced, bare, v = [], [], [], set(), set(), self.vocabulary
-        for w in words:
-            value = self.old.get(w)
+        spaced, bare, v = [], [], self.vocabulary
+        for p in pieces:
+            value = self.old.get(p)
             if value is not None:
-                self.young[w] = value
-                continue
-            runs = v.runs(w)
-            if runs:
-                pending.append((w, runs))
-                for r in runs:
-                    if r not in self.runs:
-                        value = self.old_runs.get(r)
-                        if value is not None:
-                            self.runs[r] = value
-                        else:
-                            (spaced if v.closes is not None or r[0] == " " else bare).add(r)
-            elif v.closes is None and w and v.plain(w):
-                plain.append(w)
-            elif w and v.mark not in w:
-                marked.append(w)
+                self.young[p] = value
             else:
-                self.young[w] = as_bytes(v.one(v.space + w if w else ""))
-        for new, encode, into in ((list(spaced), v.of_runs, self.runs), (list(bare), v.of_runs, self.runs), (plain, v.joined, self.young), (marked, v.marked, self.young)):
+                (spaced if v.spaced(p) else bare).append(p)
+        for new, encode in ((spaced, v.joined), (bare, v.marked)):
             for at in range(0, len(new), 4096):
                 some = new[at : at + 4096]
                 ids, bounds = encode(some)
                 if len(bounds) != len(some) + 1:
-                    raise ValueError("words and their ids do not match")
+                    raise ValueError("pieces and their ids do not match")
                 bounds = bounds.tolist()
-                into.update(zip(some, (as_bytes(ids[a:b]) for a, b in zip(bounds, bounds[1:]))))
-        ids_of = self.runs.__getitem__
-        for w, runs in pending:
-            self.young[w] = b"".join(map(ids_of, runs))
-
-    def values(self, parts: Sequence[tuple[str, bool]]) -> list[list[bytes]]:
-        """Per part (text, opens its document) the ids of its words."""
-        cut = [words_of(text) for text, _ in parts]
-        # The first word of a document has no space before it.
-        openers = [words.pop(0) if first and self.vocabulary.space else None for words, (_, first) in zip(cut, parts)]
-        opened = {w: as_bytes(self.vocabulary.one(w)) for w in openers if w is not None}
+                self.young.update(zip(some, (as_bytes(ids[a:b]) for a, b in zip(bounds, bounds[1:]))))
+
+    def values(self, parts: Sequence[tuple[str, bool]]) -> list[bytes]:
+        """Per part (text, opens its document) its ids."""
+        space = self.vocabulary.space
+        texts = [text if first else space + text for text, first in parts]
+        cut = [self.vocabulary.pieces(text) for text in texts]
+        whole = [k for k, pieces in enumerate(cut) if pieces is None]
         known = self.young.get
-        out = [list(map(known, words)) for words in cut]
-        short = [k for k, found in enumerate(out) if None in found]
+        found = [[] if pieces is None else list(map(known, pieces)) for pieces in cut]
+        short = [k for k, ids in enumerate(found) if None in ids]
         if short:
-            self._learn({w for k in short for w, ids in zip(cut[k], out[k]) if ids is None})
+            self._learn({p for k in short for p, ids in zip(cut[k], found[k]) if ids is None})
             learnt = self.young
             for k in short:
-                out[k] = [learnt[w] if ids is None else ids for w, ids in zip(cut[k], out[k])]
-        return [found if w is None else [opened[w], *found] for w, found in zip(openers, out)]
+                found[k] = [learnt[p] if ids is None else ids for p, ids in zip(cut[k], found[k])]
+        out = [b"".join(ids) for ids in found]
+        for k, ids in zip(whole, self.vocabulary.call([texts[k] for k in whole]) if whole else []):
+            out[k] = as_bytes(np.asarray(ids, dtype="<u4"))
+        return out
 
 
-#: Tables of this Python worker: tasks that it runs later start with the words that earlier ones met.
-_TABLES: dict[str, WordTable] = {}
+#: Tables of this Python worker: tasks that it runs later start with the pieces that earlier ones met.
+_TABLES: dict[str, PieceTable] = {}
 
 
 def encoded(path: str, documents: Iterable[tuple], batch_bytes: int = 1 << 20) -> Iterator[tuple]:
     """(..., text) to (..., ids) of whole texts in the same order, a batch of about equal bytes at a time."""
     if path not in _TABLES:
-        _TABLES[path] = WordTable(path)
+        _TABLES[path] = PieceTable(path)
     table = _TABLES[path]
     waiting: list[tuple] = []
     parts = ((k, part, first) for k, d in enumerate(documents) for part, first in _noted(waiting, d))
@@ -226,7 +179,7 @@ def encoded(path: str, documents: Iterable[tuple], batch_bytes: int = 1 << 20) -
             if k > done:
                 yield (*waiting.pop(0), np.frombuffer(b"".join(held), dtype="<u4"))
                 done, held = k, []
-            held.extend(found)
+            held.append(found)
     if waiting:
         yield (*waiting.pop(0), np.frombuffer(b"".join(held), dtype="<u4"))
 
