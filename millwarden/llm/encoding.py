@@ -19,10 +19,10 @@ from millwarden.llm.common import in_bytes
 #: Plain: ASCII signs, letters and digits, Latin letters with marks.
 _PLAIN = "[!-~À-ÖØ-öø-ɏ]"
 CUT = re.compile(f" (?<={_PLAIN} )(?={_PLAIN})")
-_SAFE = frozenset(chr(c) for c in range(0x250) if re.fullmatch(_PLAIN, chr(c))) | {" ", "\n"}
+_SAFE = re.compile("[ \n!-~À-ÖØ-öø-ɏ]*")
 
-#: Characters of a text handled at once, and distinct pieces of a generation (about 40 MB).
-SEGMENT, HELD = 1 << 16, 300_000
+#: Characters of a text handled at once, and distinct pieces of a generation (about 50 MB).
+SEGMENT, HELD = 1 << 16, 400_000
 
 
 def segments(text: str, size: int = SEGMENT) -> Iterator[tuple[str, bool]]:
@@ -40,8 +40,9 @@ def segments(text: str, size: int = SEGMENT) -> Iterator[tuple[str, bool]]:
 #: The patterns of the two vocabularies, over plain characters, spaces and line feeds: contractions, letters, digits, marks, white space.
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 _CONTRACTION = "'(?:s|t|re|ve|m|ll|d)"
-_SPACED = re.compile(f"{_CONTRACTION}| ?[{_LETTER}]+| ?[0-9]+| ?[^{_LETTER}0-9 \n]+|[ \n]+(?![^ \n])|[ \n]+")
-_BARE = re.compile(f"{_CONTRACTION}|[{_LETTER}]+|[0-9]|[^{_LETTER}0-9 \n]+")
+_MARK = "!-/:-@\\[-`{-~"
+_SPACED = re.compile(f" ?[{_LETTER}]+|{_CONTRACTION}| ?[0-9]+| ?[{_MARK}]+|[ \n]+(?![^ \n])|[ \n]+")
+_BARE = re.compile(f"[a-zß-öø-ɏ]+|{_CONTRACTION}|[0-9]|[{_MARK}]+")
 
 #: Ids of pieces, end to end, and where each piece's ids begin (one more than pieces).
 Ids = tuple[np.ndarray, np.ndarray]
@@ -88,8 +89,8 @@ class Vocabulary:
             return None
         if self.closes is not None:
             text = text.lower()
-            return _BARE.findall(text) if _SAFE.issuperset(text) else None
-        return _SPACED.findall(text) if _SAFE.issuperset(text) else None
+            return _BARE.findall(text) if _SAFE.fullmatch(text) else None
+        return _SPACED.findall(text) if _SAFE.fullmatch(text) else None
 
     def spaced(self, piece: str) -> bool:
         return self.closes is not None or (piece[0] == " " and len(piece) > 1 and piece[1] not in " \n")
@@ -150,12 +151,14 @@ class PieceTable:
         whole = [k for k, pieces in enumerate(cut) if pieces is None]
         known = self.young.get
         found = [[] if pieces is None else list(map(known, pieces)) for pieces in cut]
-        short = [k for k, ids in enumerate(found) if None in ids]
+        short = [(k, [n for n, piece in enumerate(ids) if piece is None]) for k, ids in enumerate(found) if None in ids]
         if short:
-            self._learn({p for k in short for p, ids in zip(cut[k], found[k]) if ids is None})
+            self._learn({cut[k][n] for k, places in short for n in places})
             learnt = self.young
-            for k in short:
-                found[k] = [learnt[p] if ids is None else ids for p, ids in zip(cut[k], found[k])]
+            for k, places in short:
+                pieces, ids = cut[k], found[k]
+                for n in places:
+                    ids[n] = learnt[pieces[n]]
         out = [b"".join(ids) for ids in found]
         for k, ids in zip(whole, self.vocabulary.call([texts[k] for k in whole]) if whole else []):
             out[k] = as_bytes(np.asarray(ids, dtype="<u4"))
