@@ -93,14 +93,14 @@ def _cell(name: str) -> str:
 
 
 @query("parse_incidents", with_views("records") + f"""SELECT doc_id, {strip(f"substr([h FOR h IN {lines('text')} IF starts_with(h, '# ')][1], 3)")} AS title,
- {header('text', 'Incident ID')} AS incident_id, {header('text', 'Severity')} AS severity, md5({section('text', 'Incident Summary')}) AS summary_md5,
- {_cell('Air temperature')} AS air_temperature, {_cell('Torque')} AS torque, {_items('Possible Contributing Factors')} AS contributing_factors,
- {_items('Corrective Actions')} AS corrective_actions FROM records WHERE contains(source_path, '/synthetic_incidents/')""")
+ """ + ", ".join(f"{header('text', n)} AS {c}" for c, n in T.INCIDENT_FIELDS.items()) + f", md5({section('text', 'Incident Summary')}) AS summary_md5, "
+       + ", ".join(f"{_cell(n)} AS {c}" for c, n in D.SENSOR_ROWS.items()) + ", " + ", ".join(f"coalesce({_items(n)}, '') AS {c}" for c, n in D.LIST_SECTIONS.items())
+       + " FROM records WHERE contains(source_path, '/synthetic_incidents/')")
 def parse_incidents(spark, sf):
     incidents = view(spark, sf, "records").filter(F.contains("source_path", F.lit("/synthetic_incidents/")))
     parsed = D.parse_incidents(incidents, keep=["doc_id"])
-    return parsed.select("doc_id", "title", "incident_id", "severity", F.md5("summary").alias("summary_md5"), "air_temperature", "torque",
-                         F.array_join("contributing_factors", "|").alias("contributing_factors"), F.array_join("corrective_actions", "|").alias("corrective_actions"))
+    return parsed.select("doc_id", "title", *T.INCIDENT_FIELDS, F.md5("summary").alias("summary_md5"), *D.SENSOR_ROWS,
+                         *[F.coalesce(F.array_join(c, "|"), F.lit("")).alias(c) for c in D.LIST_SECTIONS])
 
 
 WEIGHTS = with_views("corpus") + """,
@@ -378,10 +378,10 @@ t AS (SELECT *, {_PLAIN} AS name, starts_with(l, '## ') OR list_contains({_NAMES
 g AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS part FROM t),
 h AS (SELECT doc_id, name, min(part) AS part FROM g WHERE head GROUP BY doc_id, name)
 SELECT r.doc_id, s.heading, md5(coalesce({strip("string_agg(g.l, chr(10) ORDER BY g.i) FILTER (WHERE NOT g.head)")}, '')) AS body_md5
-FROM reports r, (VALUES ('FACTS'), ('RECOMMENDED ACTIONS'), ('LIMITATIONS')) s(heading)
+FROM reports r, (VALUES ('FACTS'), ('POSSIBLE HYPOTHESES'), ('RECOMMENDED ACTIONS'), ('EVIDENCE SOURCES'), ('LIMITATIONS')) s(heading)
 LEFT JOIN h ON h.doc_id = r.doc_id AND h.name = lower(s.heading) LEFT JOIN g ON g.doc_id = r.doc_id AND g.part = h.part GROUP BY r.doc_id, s.heading""")
 def report_sections(spark, sf):
-    wanted = ("FACTS", "RECOMMENDED ACTIONS", "LIMITATIONS")
+    wanted = ("FACTS", "POSSIBLE HYPOTHESES", "RECOMMENDED ACTIONS", "EVIDENCE SOURCES", "LIMITATIONS")
     parts = [F.struct(F.lit(h).alias("heading"), F.md5(T.report_section("report", h)).alias("body_md5")) for h in wanted]
     return view(spark, sf, "reports").select("doc_id", F.inline(F.array(*parts)))
 

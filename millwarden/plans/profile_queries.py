@@ -37,9 +37,15 @@ def profile_nulls(spark, sf):
     return P.null_counts(with_gaps(view(spark, sf, "telemetry")))
 
 
-@query("profile_duplicates", """SELECT CAST(sum(n - 1) AS BIGINT) AS duplicates FROM (
-    SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_discount)""")
+@query("profile_duplicates", "SELECT (SELECT count(*) FROM lineitem) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) AS duplicates")
 def profile_duplicates(spark, sf):
+    return P.duplicate_rows(view(spark, sf, "lineitem"))
+
+
+@query("profile_duplicate_keys", """SELECT CAST(sum(n - 1) AS BIGINT) AS duplicates FROM (
+    SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_discount)""")
+def profile_duplicate_keys(spark, sf):
+    """Rows equal to an earlier one in some columns."""
     return P.duplicate_rows(view(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_discount"))
 
