@@ -81,11 +81,19 @@ def _hashes(words: Column, n: int, names: bool) -> Column:
 
 
 def _windows(words: Column, sizes: list[int]) -> Column:
-    """(place, hash) of all windows of the sizes, with names as slots and as words."""
-    def placed(n: int, names: bool) -> Column:
-        return F.transform(_hashes(words, n, names), lambda x, i: F.struct(i.alias("place"), F.xxhash64(F.lit(n), x).alias("hash")))
+    """The number of words, and the hashes of all windows of the sizes, with names as slots and as words, end to end."""
+    return F.struct(F.size(words).alias("count"), F.concat(*(_hashes(words, n, names) for n in sizes for names in (True, False))).alias("hashes"))
 
-    return F.concat(*(placed(n, names) for n in sizes for names in (True, False)))
+
+def _place(position: Column, count: Column, sizes: list[int]) -> Column:
+    """The place in the text of the window at ``position`` among those of ``_windows``."""
+    out, rest = position, position
+    for n in sizes:
+        for _ in (True, False):
+            length = F.greatest(count - (n - 1), F.lit(0))
+            out = F.when(rest < 0, out).otherwise(rest)
+            rest = rest - length
+    return out
 
 
 def _joined(rows: DataFrame, few: DataFrame, on: str, small: bool, by: str) -> DataFrame:
@@ -108,16 +116,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
             hashed = F.posexplode(_hashes(F.col("item_words"), n, names)).alias("item_place", "hash")
             at = some.select("item", template(F.col("item_words"), names).alias("frame"), hashed)
             literal = F.size(F.filter(F.slice("frame", F.col("item_place") + 1, n), lambda w: ~w.isin(NAME, NUMBER, UNIT)))
-            at = at.filter(literal >= LITERAL).select("item", "item_place", F.xxhash64(F.lit(n), "hash").alias("hash"), F.lit(n).alias("size"))
+            at = at.filter(literal >= LITERAL).select("item", "item_place", "hash", F.lit(n).alias("size"))
             known = at if known is None else known.union(at)
     known = cut_lineage(known.distinct())
     known_small = known.count() <= BROADCAST_ROWS
 
     hashed = docs.select(F.col(text).cast("string").alias("text")).filter("text IS NOT NULL")
-    placed = hashed.select(F.md5("text").alias("text_hash"), F.explode(_windows(valued(F.col("text")), sizes)).alias("w"))
-    placed = placed.select("text_hash", "w.place", "w.hash")
+    placed = hashed.select(F.md5("text").alias("text_hash"), bind(valued(F.col("text")), lambda words: _windows(words, sizes)).alias("w"))
+    placed = placed.select("text_hash", "w.count", F.posexplode("w.hashes").alias("position", "hash"))
     met = _joined(placed, known, "hash", known_small, "text_hash")
-    met = met.select("text_hash", "item", "item_place", "size", (F.col("place") - F.col("item_place")).alias("offset")).groupBy("text_hash", "item", "offset").agg(
+    place = _place(F.col("position"), F.col("count"), sizes)
+    met = met.select("text_hash", "item", "item_place", "size", (place - F.col("item_place")).alias("offset")).groupBy("text_hash", "item", "offset").agg(
         F.sort_array(F.collect_set(F.struct("item_place", "size"))).alias("places"))
     # An item has few places, whatever the corpus; windows overlap, so a place counts up to the next one.
     spans = F.transform("places", lambda p, k: F.least(p["size"], F.coalesce(F.get(F.col("places"), k + 1)["item_place"] - p["item_place"], p["size"])))
