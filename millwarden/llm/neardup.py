@@ -45,7 +45,9 @@ SALTS = 16
 #: Nodes and shingles of a block of a crowded region; two blocks meet in a task.  Sets up to which a shingle is counted pair by
 #: pair, and columns of a product.
 BLOCK, SHINGLES, FEW, COLUMNS = 1024, 1 << 19, 16, 1024
-HELD = 300_000
+HELD = 100_000
+#: Bits of the map that tells which rows' texts are wanted; it has 8 MB whatever the number of rows.
+MAPPED, BUCKET = 1 << 26, 1 << 15
 
 _random = np.random.default_rng(20240229)
 _FACTORS = _random.integers(1 << 32, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -309,11 +311,37 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(right, pa.bool_()))
 
 
+def _wanted_bits(wanted: DataFrame, column: str) -> np.ndarray:
+    """A bit for each hash in ``column``, by its last bits."""
+    spot = F.pmod(F.col(column), F.lit(MAPPED))
+    parts = wanted.groupBy(F.floor(spot / BUCKET).cast("int").alias("bucket")).agg(F.bitmap_construct_agg(F.pmod(spot, F.lit(BUCKET))).alias("bits"))
+    out = np.zeros((MAPPED // BUCKET, BUCKET // 8), dtype=np.uint8)
+    # At most MAPPED / BUCKET rows of BUCKET / 8 bytes.
+    for r in parts.collect():
+        out[r["bucket"]] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out.ravel()
+
+
+def _maybe_wanted(rows: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
+    """The rows whose hash has its bit set: all that are wanted, and few others."""
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+
+    @F.arrow_udf("boolean")
+    def known(hashes: pa.Array) -> pa.Array:
+        spot = hashes.to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(MAPPED - 1)
+        return pa.array((shared.value[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8) & 1).astype(bool))
+
+    return rows.filter(known(F.col(column)))
+
+
 def _sets_of(nodes: DataFrame, shared: DataFrame, body: DataFrame) -> DataFrame:
     """node, shingles of every node that shares a region, from the row that stands for it."""
-    wanted = shared.select("node").distinct().join(nodes.select("node", "at"), "node")
+    wanted = cut_lineage(shared.select("node").distinct().join(nodes.select("node", "at"), "node"))
+    body = _maybe_wanted(body, "row", _wanted_bits(wanted, "at.row"))
     same = body["key"].eqNullSafe(wanted["at.key"]) & (body["row"] == wanted["at.row"])
-    return cut_lineage(body.join(wanted, same).select("body", "node").mapInArrow(_sets, "node binary, shingles binary").dropDuplicates(["node"]))
+    sets = cut_lineage(body.join(wanted, same).select("body", "node").mapInArrow(_sets, "node binary, shingles binary").dropDuplicates(["node"]))
+    drop_stage(wanted)
+    return sets
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.01
 FOLDS = 4
 #: A feature is learned from that many documents of a shard on.
 SEEN = 2
-HELD = 300_000
+HELD = 100_000
 _WORD = re.compile(r"\w+")
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 BITMAP = 1 << 22
@@ -249,9 +249,13 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxici
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, of = WordHashes(), shared.value.scorer()
         for batch in batches:
-            scores = pa.array([of(features(t.as_py(), hashes)) for t in batch.column(0)], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(1), scores], ["row", "score"])
-
-    rows = docs.select(F.col(text).cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+            # A text that is a string already travels once, in its row.
+            texts = batch.column(0).field(place) if place is not None else batch.column(1)
+            scores = pa.array([of(features(t.as_py(), hashes)) for t in texts], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), scores], ["row", "score"])
+
+    place = docs.columns.index(text) if text in docs.columns and docs.schema[text].dataType.typeName() == "string" else None
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(row) if place is not None else docs.select(row, F.col(text).cast("string").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
     return rows.mapInArrow(scored, f"row {kind}, score double").select("row.*", F.col("score").alias(name))

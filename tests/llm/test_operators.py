@@ -664,3 +664,28 @@ def test_shards_refuse_repeated_keys(spark, tmp_path):
         sharding.write_shards(frame(spark, [(1, "a"), (1, "b")]), f"{tmp_path}/s")
     table = sharding.write_shards(frame(spark, [(1, "a"), (None, "b")]), f"{tmp_path}/t").collect()
     assert [(r.shard, r.shard_rows) for r in table] == [("", 2)] and {r._shard for r in spark.read.parquet(f"{tmp_path}/t").collect()} == {"root"}
+
+
+def test_only_rows_that_may_be_wanted_are_shuffled_for_their_sets(spark):
+    """The rows whose sets are fetched are told by a bitmap before the join, so the texts of the others stay where they are."""
+    rows = spark.range(20_000).select("id", F.xxhash64("id").alias("row"))
+    wanted = rows.filter("id % 40 = 7").select(F.struct("row").alias("at"))
+    bits = neardup._wanted_bits(wanted, "at.row")
+    assert bits.nbytes == neardup.MAPPED // 8
+    kept = {r["id"] for r in neardup._maybe_wanted(rows, "row", bits).collect()}
+    assert {k for k in range(20_000) if k % 40 == 7} <= kept and len(kept) < 600
+    assert neardup._maybe_wanted(rows, "row", neardup._wanted_bits(wanted.limit(0), "at.row")).count() == 0
+
+
+def test_toxicity_scores_a_text_that_travels_once(spark):
+    docs = spark.createDataFrame([(1, "you vile fool", "en"), (2, None, "de"), (3, "", "fr"), (4, "a calm word", "en")], "doc_id long, text string, lang string")
+    index = np.unique(toxicity.features("you vile fool", toxicity.WordHashes()))
+    model = toxicity.Model(index, np.full(len(index), 1.5), -2.0)
+    scored = toxicity.score(docs, model)
+    assert str(scored._jdf.queryExecution().analyzed()).count("cast(text") == 0
+    found = {r["doc_id"]: (r["text"], r["lang"], r["toxicity"]) for r in scored.collect()}
+    of = model.scorer()
+    for r in docs.collect():
+        assert found[r["doc_id"]] == (r["text"], r["lang"], of(toxicity.features(r["text"], toxicity.WordHashes())))
+    as_bytes = toxicity.score(docs.withColumn("text", F.col("text").cast("binary")), model)
+    assert {r["doc_id"]: r["toxicity"] for r in as_bytes.collect()} == {k: v[2] for k, v in found.items()}
