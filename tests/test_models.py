@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millwarden.operators import hierarchy as H
 from millwarden.operators import isolation as I
+from millwarden.operators import learning as L
 from millwarden.operators import profiling as P
 from millwarden.operators import sequences as Q
 
@@ -121,3 +122,29 @@ def test_density_equals_the_kernel_sum(spark, n):
         at = x.min() + r.point * (x.max() - x.min()) / 99
         want = np.exp(-0.5 * ((at - x) / h) ** 2).sum() / (n * h * np.sqrt(2 * np.pi))
         assert abs(r.density - want) < 1e-6
+
+
+def test_one_class_cosines_equal_the_library(spark):
+    """Whole blocks of cosines at once give the features that the library's cosine gives."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=5000) * 20
+    assert np.abs(I.cosine(x / (2 * np.pi)) - np.cos(x)).max() < 2e-14
+    assert I.cosine(np.array([0.0, 0.25, 0.5, -1.0])).tolist() == [1.0, 0.0, -1.0, 1.0]
+    model = I.OneClass(rng.normal(size=(3, 16)), rng.uniform(0, 6, 16), np.zeros(16))
+    data = rng.normal(size=(I.LIFTED * 2 + 3, 3))
+    assert np.allclose(model.lifted(data), np.sqrt(2 / 16) * np.cos(data @ model.weights + model.phase), rtol=0, atol=1e-14)
+    assert model.lifted(data[:0]).shape == (0, 16)
+
+
+def test_margin_classifier_keeps_only_the_features_as_they_came(spark, monkeypatch):
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 3))
+    rows = spark.createDataFrame([(str(k), float(v[0] > 0), 1.0, [float(a) for a in v]) for k, v in enumerate(x)], "uid string, label double, weight double, x array<double>")
+    rows = rows.withColumn("features", array_to_vector("x")).drop("x")
+    kept = []
+    real = type(rows).persist
+    monkeypatch.setattr(type(rows), "persist", lambda self, *at: kept.append(len(self.first()["features"])) or real(self, *at))
+    scored = L.margin_classifier(rows, rows, "uid", 3, outputs=16, calibration=2, iterations=5).collect()
+    assert kept == [3] and len(scored) == 60
