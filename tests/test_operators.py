@@ -98,6 +98,21 @@ def test_quantiles_of_a_heavy_value_end(spark):
             assert found == pytest.approx(np.quantile(values, p), rel=1e-12)
 
 
+def test_quantile_passes_stay_few(spark, monkeypatch):
+    """A continuous column, one of few values and one of both signs are settled by two passes of bins and one that lists what is left."""
+    from millwarden.operators import quantiles
+
+    rng = np.random.default_rng(6)
+    data = np.stack([rng.normal(1600, 200, 30_000), rng.integers(0, 9, 30_000), rng.normal(size=30_000) ** 3], axis=1)
+    passes, counts = [], quantiles._counts
+    monkeypatch.setattr(quantiles, "_counts", lambda *a: passes.append(a[2]) or counts(*a))
+    got = exact_quantiles(spark.createDataFrame(data.tolist(), "a double, b double, c double"), ["a", "b", "c"], (0.25, 0.75), accuracy=3000, listed=2000)
+    assert len(passes) <= 3
+    for k, name in enumerate("abc"):
+        for p, found in got[(name,)].items():
+            assert found == pytest.approx(np.quantile(data[:, k], p), rel=1e-12)
+
+
 def test_machine_ids_from_ten_million_up(spark):
     df = frame(spark, [(10_000_000.0,), (12_345_678.0,), (7.0,), (7.5,), (None,)], "c double")
     assert [r[0] for r in df.select(R.machine_id_text("c")).collect()] == ["10000000", "12345678", "7", "7.5", None]
