@@ -9,6 +9,7 @@ from millwarden.operators import isolation as I
 from millwarden.operators import learning as L
 from millwarden.operators import profiling as P
 from millwarden.operators import sequences as Q
+from millwarden.operators import series as S
 
 
 def frame(spark, x, names="abcdefghij"):
@@ -113,6 +114,76 @@ def test_reservoir_equals_a_plain_loop(spark):
     assert ((inputs @ weights - y) ** 2).mean() < 0.3 * y.var()
 
 
+def series_rows(spark, lengths=(4, 5, 6, 40, 67), gap=(3, 21)):
+    """Units of these lengths, one with a missing cycle, some with null readings or labels."""
+    rng = np.random.default_rng(11)
+    rows = [(u, c, float(rng.normal()), None if (u, c) == (4, 9) else float(c + u), None if (u, c) == (3, 12) else float(n - c))
+            for u, n in enumerate(lengths) for c in range(1, n + 1) if (u, c) != gap]
+    return spark.createDataFrame(rows, "unit_id int, cycle int, a double, b double, rul double").repartition(5)
+
+
+@pytest.mark.parametrize("position", [None, "cycle"])
+@pytest.mark.parametrize("block", [6, 20, 1000])
+def test_packed_windows_are_the_windows(spark, position, block):
+    """Blocks of many windows give the same windows as a row each, and hold a reading once and those of the lead twice."""
+    rows = series_rows(spark)
+    plain = S.sliding_windows(rows, ["a", "b"], 5, block=block, position=position)
+    packed = S.sliding_windows(rows, ["a", "b"], 5, block=block, position=position, packed=True)
+    same = S.unpacked(packed, 5).select(plain.columns)
+    assert same.schema.simpleString() == plain.schema.simpleString()
+    found = sorted(map(repr, same.collect()))
+    assert found and found == sorted(map(repr, plain.collect()))
+    held = sum(len(r.seq) for r in packed.collect())
+    assert held <= rows.count() * (1 + 4 / block)
+
+
+def test_sequence_model_of_packed_windows_is_that_of_single_ones(spark):
+    rows = series_rows(spark).na.fill(0.0)
+    plain = S.sliding_windows(rows, ["a", "b"], 5, block=20)
+    packed = S.sliding_windows(rows, ["a", "b"], 5, block=20, packed=True)
+    one, many = Q.fit_sequence_model(plain, 2, states=16), Q.fit_sequence_model(packed, 2, states=16, size=5)
+    assert np.allclose(one.weights, many.weights, atol=1e-8)
+    keep = ["unit_id", "end_cycle", "rul"]
+    wanted = {(r.unit_id, r.end_cycle): (r.rul, r.predicted) for r in one.predict(plain, keep).collect()}
+    got = many.predict(packed, keep, size=5).collect()
+    assert len(got) == len(wanted) == plain.count()
+    assert all(wanted[r.unit_id, r.end_cycle][0] == r.rul and abs(wanted[r.unit_id, r.end_cycle][1] - r.predicted) < 1e-6 for r in got)
+
+
+def test_reservoir_in_parts_equals_a_plain_loop(monkeypatch):
+    """Windows that share rows, some at a time, with readings far out, missing and equal."""
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(60, 3)) * 30
+    rows[7] = 1e6
+    rows[50, 1] = np.nan
+    rows[20:30] = 0.0
+    r = Q.Reservoir.drawn(np.array([0.1, 0.0, -0.2]), np.array([1.0, 2.0, 0.5]), 24)
+    starts = np.array([0, 1, 2, 9, 10, 21, 40, 41, 52])
+    monkeypatch.setattr(Q, "SOME", 4)
+    got = np.concatenate(list(r.inputs(rows, starts, 8)))
+    for at, line in zip(starts, got):
+        state = np.zeros(24)
+        for z in (rows[at : at + 8] - r.mean) / r.scale:
+            state = (1 - r.leak) * state + r.leak * np.tanh(z @ r.inward + state @ r.inner)
+        assert np.allclose(line, np.concatenate([[1.0], z, state]), atol=1e-9, equal_nan=True)
+    assert r.states(np.zeros((0, 8, 3))).shape == (0, 28)
+
+
+def test_engine_windows_hold_a_reading_once(spark, tmp_path):
+    """What is written for the windows grows with the rows, not with thirty times the rows."""
+    from millwarden.plans import model_queries as M
+
+    rows = [(1000 * u + k, 60 * k, u, f"kind{k % 3}", float((k * 7 + u) % 31), '{"k": %d}' % (k % 90)) for u in range(10) for k in range(30 + u)]
+    events = spark.createDataFrame(rows, "event_id long, s long, user_id long, event_type string, value double, props string")
+    events.selectExpr("event_id", "timestamp_seconds(s) AS ts", "user_id", "event_type", "value", "props").write.parquet(f"{tmp_path}/events.parquet")
+    held = sum(len(r.seq) for r in M.engine_windows(spark, str(tmp_path)).collect())
+    assert held == len(rows)
+    got = M.sequence_regression(spark, str(tmp_path)).collect()
+    units = {r.unit_id for r in got}
+    assert len(units) == 2 and all(r.known for r in got)
+    assert sorted((r.unit_id, r.end_cycle, r.rul) for r in got) == sorted((u, c, 30 + u - c) for u in units for c in range(30, 31 + u))
+
+
 @pytest.mark.parametrize("n", [40, 3000])
 def test_density_equals_the_kernel_sum(spark, n):
     x = np.random.default_rng(n).gamma(2.0, 3.0, n)
